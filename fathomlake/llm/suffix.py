@@ -5,8 +5,8 @@ the rank of its first h bytes and, from the ranks at a position and h bytes on,
 rank is unique or h is past the threshold. A position whose shorter string is unique can be dropped at once, and most
 are, so the positions are screened first by strings that every 400-byte string at them contains:
 
-1. Each start p belongs to one anchor, the place of the least 16-byte hash among the next 128 places, which depends on
-   the bytes alone. All strings of one anchor share at least ``length - 127`` bytes after it. An anchor whose shared
+1. Each start p belongs to one anchor, the place of the least 16-byte hash among the next 160 places, which depends on
+   the bytes alone. All strings of one anchor share at least ``length - 159`` bytes after it. An anchor whose shared
    bytes are unique is dropped with all its starts.
 2. An anchor whose starts' strings all lie in a stretch that occurs again is settled: all its starts repeat. The starts
    of the others, 16 to a cell, share nearly ``length`` bytes: a cell whose shared bytes are unique is dropped, and one
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import shingles as S
 from .common import cut, documents, partitions
 
-LENGTH, WINDOW, GRAM, CELL = 400, 128, 16, 16
+LENGTH, WINDOW, GRAM, CELL = 400, 160, 16, 16
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _table: dict[int, np.ndarray] = {}
 
@@ -266,7 +266,7 @@ def remove_repeats(docs: DataFrame, fields: list[str], length: int = LENGTH) ->
 
     ``fields``: any of n_bytes, n_removed, n_spans (maximal runs), kept_sha256, spans (the runs, in bytes), kept (the
     text; a character cut in two goes). A null text is empty; texts shorter than ``length`` stay whole; rows that repeat
-    are texts of their own, so each removes the other; no rows give none. ``length``: a multiple of 4, over 130.
+    are texts of their own, so each removes the other; no rows give none. ``length``: a multiple of 4, over 180.
     """
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
     rows = docs.select(others.alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
