@@ -24,7 +24,7 @@ NEW_LOWER = (("\ua7cb", "\u0264"), ("\ua7dc", "\u019b"))
 _memo: dict[str, "Counter"] = {}
 
 
-def _byte_chars() -> list[str]:
+def byte_chars() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: itself, or the next from U+0100."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
     out, spare = [], 256
@@ -44,7 +44,7 @@ class Counter:
         self.most, self.counts = most, {}
         self.special = regex.compile("|".join(regex.escape(x["content"]) for x in spec["added_tokens"]))
         self.split = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
-        chars = _byte_chars()
+        chars = byte_chars()
         self.inner = np.array([vocab[c] for c in chars], np.int64)
         self.last = np.array([vocab[c + end] for c in chars], np.int64)
         self.wide = len(vocab) + len(spec["added_tokens"])
