@@ -158,7 +158,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY[0] / SIMILAR
     placed = members.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # doc_id and the hash of its text name the row to fetch; rows that repeat both are dropped in the task.
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    texts = placed.join(texts, ["rep", "th"])
+    # The plan is the same at every size: texts go where their groups are, and no side is sent to all tasks.
+    texts = placed.hint("merge").join(texts, ["rep", "th"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tasks = texts.select("grp", "rep", "weight", "block", "text", other).select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "rep", "weight", "block", "text")
     tasks = tasks.repartition(partitions(spark), "grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi", "rep")

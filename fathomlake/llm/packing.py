@@ -8,6 +8,7 @@ enough. A round's partitions hold at most ``most`` items each, so no task ever t
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 
@@ -24,14 +25,15 @@ from .tokens import byte_chars
 CAPACITY = 2048
 #: The tokenizer file's special token, which it also finds inside texts.
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
+_wide = re.compile(r"\s (?:\s|\Z)").search
 _memo: dict[str, "_Ids"] = {}
 
 
 class _Ids(dict):
     """Little-endian 32-bit ids of a word with the space before it.
 
-    The tokenizer file's pattern never takes a character and a single space after it into one pre-token, so a text
-    without two spaces in a row is encoded word by word, each word once. The file's vocabulary and merges are run by the
+    The tokenizer file's pattern takes a character and a space after it into one pre-token only in a run of white space, so
+    a text without a space between two others is encoded word by word, each word once. The file's vocabulary and merges are run by the
     faster of the two byte-level BPE libraries; tests hold its ids against the file's own.
     """
 
@@ -52,7 +54,7 @@ class _Ids(dict):
     def text(self, text: str) -> bytes:
         if SPECIAL in text:
             return self.special.join(self.text(x) for x in text.split(SPECIAL))
-        if "  " in text:
+        if _wide(text):
             return array("I", self.encode(text)).tobytes()
         first, *rest = text.split(" ")
         return self[first] + b"".join([self[" " + w] for w in rest])
