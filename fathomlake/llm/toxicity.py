@@ -2,10 +2,11 @@
 
 1. From a bounded sample of labelled documents (``SAMPLE`` rows, by hash) words and word beginnings are mined that toxic
    documents have far more often. They are dealt out to lexicon voters (whole words) and pattern voters (beginnings of
-   4 to 8 letters), and two more voters look for several of them and for none.
+   4 to 9 letters), and two more voters look for several of them and for none.
 2. All documents vote. A generative label model is fitted to the counts of all vote patterns by EM: a prior, each voter's
    rates on toxic and clean documents, and, from what its posterior leaves unexplained, the correlations between voters,
-   by which correlated votes count for less.
+   by which correlated votes count for less. The sample's labels hold the two classes in place: they count as one more
+   voter, of accuracy ``TRUST``, and weigh as much as all documents without.
 3. A linear classifier over the mined terms is trained on the posterior labels of the sample and scores every document.
 
 Labels are taken only from rows whose held-out remainder isn't 0, and labels, lang, source and doc_id are no inputs.
@@ -13,12 +14,12 @@ Labels are taken only from rows whose held-out remainder isn't 0, and labels, la
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
@@ -27,12 +28,16 @@ from pyspark.sql import functions as F
 from .common import cut, documents
 
 SAMPLE, TERMS, LEXICONS = 12_000, 3_000, 5
-SHORT, LONG = 4, 8
-_word = regex.compile(r"\w+")
+SHORT, LONG = 4, 9
+#: Log odds that a mined term has at least, two standard errors down; how far a given label is trusted.
+LEAST_ODDS, TRUST = 1.0, 0.99
+#: Share of a mined term's documents that are toxic, at least.
+PRECISION = 0.6
+_word = re.compile(r"\w+")
 
 
 def terms_of(word: str) -> list[str]:
-    """The word, and its proper beginnings of 4 to 8 letters, marked by a final hyphen."""
+    """The word, and its proper beginnings of 4 to 9 letters, marked by a final hyphen."""
     return [word, *(f"{word[:k]}-" for k in range(SHORT, min(LONG, len(word) - 1) + 1))]
 
 
@@ -77,12 +82,17 @@ def mined(sample: DataFrame) -> list[str]:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cand))), pa.array(total[:, 1]), pa.array(total[:, 0])], ["term", "toxic", "clean"])
 
     counts = sample.select("text", "toxic").mapInArrow(clean, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
-    ranked = []
-    for i, a, b in counts:
+    ranked, have = [], {}
+    for i, a, b in sorted(counts, key=lambda r: (len(cand[r[0]]), cand[r[0]])):
+        term = cand[i].rstrip("-")
+        shorter = f"{term[:-1]}-" if cand[i].endswith("-") else f"{term[: min(LONG, len(term) - 1)]}-"
+        have[cand[i]] = (a, b)
+        if a < PRECISION * (a + b) or have.get(shorter) == (a, b):  # weak, or found wherever a shorter beginning is
+            continue
         odds = np.log((a + 0.5) / (pos + 1)) - np.log((b + 0.5) / (neg + 1))
         spread = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if odds - 1.0 * spread > 1.0:
-            ranked.append((-(odds - spread) * np.sqrt(a), cand[i]))
+        if odds - 2 * spread > LEAST_ODDS:
+            ranked.append((-(odds - 2 * spread) * np.sqrt(a), cand[i]))
     return [t for _, t in sorted(ranked)[:TERMS]]
 
 
@@ -108,19 +118,22 @@ VOTERS = 2 * LEXICONS + 2
 class LabelModel:
     """Prior, rates of each voter by label, and discounts for correlated voters, by EM over counted vote patterns."""
 
-    def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 60):
+    def __init__(self, patterns: np.ndarray, counts: np.ndarray, known: np.ndarray, rounds: int = 60):
+        """``known``: rows (pattern, label, count) of the labelled sample; a label of -1: none."""
+        label = np.concatenate((np.full(len(patterns), -1), known[:, 1]))
+        w = np.concatenate((counts / max(1, counts.sum()), known[:, 2] / max(1, known[:, 2].sum()))) / 2
+        patterns = np.concatenate((patterns, known[:, 0]))
         v = (patterns[:, None] >> np.arange(VOTERS)) & 1
-        w = counts / max(1, counts.sum())
         self.prior = 0.1
         # Voters but the last ('no term') speak for toxic: where EM starts.
         self.rate = np.stack([np.r_[np.full(VOTERS - 1, 0.02), 0.8], np.r_[np.full(VOTERS - 1, 0.5), 0.05]])
         self.weight = np.ones(VOTERS)
         self.correlation = np.eye(VOTERS)
         for step in range(rounds):
-            q = self.posterior(patterns)
+            q = self.posterior(patterns, label)
             self.prior = float(np.clip((w * q).sum(), 0.001, 0.5))
-            for label, part in enumerate((w * (1 - q), w * q)):
-                self.rate[label] = (part @ v + 1e-4) / (part.sum() + 2e-4)
+            for kind, part in enumerate((w * (1 - q), w * q)):
+                self.rate[kind] = (part @ v + 1e-4) / (part.sum() + 2e-4)
             if step >= rounds // 3:
                 mean = self.rate[0] + q[:, None] * (self.rate[1] - self.rate[0])
                 rest = v - mean
@@ -128,10 +141,11 @@ class LabelModel:
                 self.correlation = cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
                 self.weight = 1 / np.maximum(1, np.abs(self.correlation).sum(axis=0))
 
-    def posterior(self, patterns: np.ndarray) -> np.ndarray:
+    def posterior(self, patterns: np.ndarray, label: np.ndarray) -> np.ndarray:
         v = (patterns[:, None] >> np.arange(VOTERS)) & 1
         like = [np.where(v, np.log(r), np.log(1 - r)) for r in self.rate]
         z = np.log(self.prior / (1 - self.prior)) + ((like[1] - like[0]) * self.weight).sum(axis=1)
+        z += np.where(label < 0, 0.0, np.log(TRUST / (1 - TRUST)) * (2 * label - 1))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -173,18 +187,21 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
 
     # There are at most 2 ** VOTERS patterns.
     seen = named.select("text").mapInArrow(voted, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
-    model = LabelModel(np.array([r[0] for r in seen], np.int64), np.array([r[1] for r in seen], float))
 
     def matched(batches):
         for batch in batches:
             found = [find(t) for t in batch.column(0).to_pylist()]
-            q = model.posterior(np.array([votes(f, owner) for f in found], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([[terms[i] for i in f] for f in found], pa.list_(pa.string())), pa.array(q)], ["found", "q"])
-
-    soft = sample.select("text").mapInArrow(matched, "found array<string>, q double")
+            yield pa.RecordBatch.from_arrays([pa.array([[terms[i] for i in f] for f in found], pa.list_(pa.string())), pa.array([votes(f, owner) for f in found], pa.int64()), batch.column(1)], ["found", "pattern", "toxic"])
+
+    voted_sample = cut(sample.select("text", "toxic").mapInArrow(matched, "found array<string>, pattern long, toxic int"), "votes")
+    known = voted_sample.groupBy("pattern", "toxic").count().orderBy("pattern", "toxic").collect()
+    model = LabelModel(np.array([r[0] for r in seen], np.int64), np.array([r[1] for r in seen], float), np.array([tuple(r) for r in known], np.int64).reshape(-1, 3))
+    q = model.posterior(np.array([r[0] for r in known], np.int64), np.array([r[1] for r in known], np.int64))
+    posterior = docs.sparkSession.createDataFrame([(r[0], r[1], float(x)) for r, x in zip(known, q, strict=True)], "pattern long, toxic int, q double")
+    soft = voted_sample.join(F.broadcast(posterior), ["pattern", "toxic"])
     soft = soft.select("found", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("q").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("q")).alias("weight")))).alias("x")).select("found", "x.*")
     features = CountVectorizerModel.from_vocabulary(terms, "found", "features").setBinary(True).transform(soft)
-    fitted = LogisticRegression(weightCol="weight", regParam=0.001, maxIter=40, standardization=False).fit(features)
+    fitted = LogisticRegression(weightCol="weight", regParam=0.0001, maxIter=60, standardization=False).fit(features)
     return Scorer(terms, fitted.coefficients.toArray(), float(fitted.intercept))
 
 
