@@ -46,7 +46,7 @@ class _Ids(dict):
         self.special = array("I", [SPECIAL_ID]).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= 600_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = ids = array("I", self.encode(word)).tobytes()
         return ids

@@ -98,7 +98,7 @@ def shingles(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mix(out), owner[at], at
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4_000_000):
+def slices(batch: pa.RecordBatch, column: str, most: int = 1_500_000):
     """Runs of rows of about ``most`` bytes of text at most (a longer text alone), so that arrays stay small."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     begin, total = 0, 0

@@ -77,7 +77,7 @@ def _anchors(length: int):
 
     def run(batches):
         for batch in batches:
-            for part in S.slices(batch, "text", 2_000_000):
+            for part in S.slices(batch, "text", 1_000_000):
                 data, at = S.utf8(part.column("text"))
                 n = len(data)
                 out = [np.zeros(0, np.int64)] * 5

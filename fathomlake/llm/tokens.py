@@ -37,7 +37,7 @@ def byte_chars() -> list[str]:
 class Counter:
     """Counts tokens as the tokenizer file says: its pattern, its merges, its word end and its special tokens."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
