@@ -102,8 +102,9 @@ def cutoffs(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: f
     held = scored.where("not base_failed").join(good, "doc_id", "left_semi").withColumn("lang", F.coalesce("lang", F.lit("")))
     counts = held.groupBy("lang").agg(F.count("*").alias("n"), *[F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r, cs in GRID.items() for i, c in enumerate(cs)])
     trials = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r, cs in GRID.items() for i, c in enumerate(cs)])
-    tried = counts.select("lang", "n", F.count("*").over(W.partitionBy(F.lit(1))).alias("strata"), F.explode(trials).alias("x")).select("lang", "n", "strata", "x.*")
-    passed = tried.withColumn("ok", tail("n", "k", alpha) <= delta / (F.col("strata") * len(GRID)))
+    tests = max(1, held.select("lang").distinct().count()) * len(GRID)
+    tried = counts.select("lang", "n", F.explode(trials).alias("x")).select("lang", "n", "x.*")
+    passed = tried.withColumn("ok", tail("n", "k", alpha) <= delta / tests)
     until = F.min("ok").over(W.partitionBy("lang", "rule").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
     chosen = passed.withColumn("ok", until).where("ok")
     return chosen.groupBy("lang").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in GRID])
