@@ -25,14 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches hold no more than ``rows`` texts: by default they hold 10,000, too much memory for long texts."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of it: lineage ends here, and a lost executor costs a re-read."""
+    short_batches(df.sparkSession)
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
