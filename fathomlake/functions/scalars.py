@@ -51,7 +51,7 @@ def normalize_section(c: Column) -> Column:
 
 def clean_text(c: Column) -> Column:
     """Every line stripped, at most one empty line in a row, nothing around."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?m)^[ \t]+|[ \t]+$", ""), r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?m)^[ \t]+|[ \t]+$", ""), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def to_day(c: Column) -> Column:

@@ -1 +1,3 @@
 
+
+from . import queries, statement_queries  # noqa: F401

@@ -39,6 +39,12 @@ SQL = {
     "facts_present": "SELECT DISTINCT doc_id FROM labels WHERE quality = 1",
     "facts_wide": """SELECT l_orderkey AS code, l_linenumber AS fiscal_period, CAST(l_shipdate AS DATE) AS disclosed_date,
         l_quantity, l_extendedprice, l_discount, l_returnflag FROM lineitem""",
+    "statement_facts": """SELECT l_orderkey AS doc_id, CASE l_linenumber WHEN 1 THEN 'NetSales' WHEN 2 THEN 'Assets' WHEN 3 THEN 'Liabilities' WHEN 4 THEN 'NetAssets'
+        WHEN 5 THEN 'NetSalesSummaryOfBusinessResults' WHEN 6 THEN 'TotalAssetsSummaryOfBusinessResults' ELSE 'OtherItem' END AS element,
+        CASE WHEN l_returnflag = 'R' THEN 'Prior1YearDuration' WHEN l_suppkey % 2 = 0 THEN 'CurrentYearDuration_NonConsolidatedMember' ELSE 'CurrentYearDuration' END AS context,
+        CASE WHEN l_quantity < 5 THEN -l_extendedprice ELSE l_extendedprice END AS value, l_linenumber AS ordinal FROM lineitem""",
+    "filing_changes": """SELECT doc_id, CASE WHEN max(toxic) = 1 THEN 'D' ELSE 'U' END AS op, 'labels' AS edinet_code, 'amended' AS form_code, 1 AS seq
+        FROM labels GROUP BY doc_id""",
     "holdings": """SELECT o.o_custkey AS account_id, p.p_brand AS asset,
         CASE p.p_type WHEN 'STANDARD' THEN 'INDEX' WHEN 'ECONOMY' THEN 'STOCK' WHEN 'MEDIUM' THEN 'BOND'
         WHEN 'PROMO' THEN 'CASH' WHEN 'SMALL' THEN 'GOLD' ELSE 'CRYPTO' END AS category, sum(l.l_extendedprice) AS value

@@ -30,7 +30,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", Q.QUERIES)
+@pytest.mark.parametrize("name", Q.ORACLE)
 def test_same_as_sql(spark, duck, name):
     df = Q.QUERIES[name](spark, SF)
     names = sorted(df.columns)
