@@ -41,3 +41,21 @@ def split_buys(plan: DataFrame, holdings: DataFrame) -> DataFrame:
     shares = holdings.withColumn("s", F.sum("value").over(w)).withColumn("n", F.count("*").over(w))
     shares = shares.withColumn("share", F.when(F.col("s") > 0, F.col("value") / F.col("s")).otherwise(1.0 / F.col("n")))
     return shares.join(plan.where("buy > 0").select("account_id", "category", "buy"), ["account_id", "category"]).withColumn("asset_buy", F.col("buy") * F.col("share"))
+
+
+def asset_results(inputs: DataFrame, config: DataFrame) -> DataFrame:
+    """Wide inputs, an account a row and an asset a column, to ``account_id, asset, category, value``; accounts of zeros go.
+
+    ``config(asset, category)`` has a row for each asset; columns it doesn't name are left out.
+    """
+    assets = [c for c in inputs.columns if c != "account_id"]
+    worth = inputs.na.fill(0.0, assets).where(" or ".join(f"`{c}` > 0" for c in assets))
+    long = worth.select("account_id", *[F.col(c).cast("double").alias(c) for c in assets]).unpivot("account_id", assets, "asset", "value")
+    return long.join(F.broadcast(config), "asset").select("account_id", "asset", "category", "value")
+
+
+def targets(defaults: DataFrame, overrides: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Each account's ratio of every category: its own where it has one, else the default. ``defaults``: a row a category."""
+    own = overrides.select("account_id", "category", F.col("ratio").alias("_o"))
+    grid = accounts.select("account_id").distinct().crossJoin(F.broadcast(defaults.select("category", "ratio")))
+    return grid.join(own, ["account_id", "category"], "left").select("account_id", "category", F.coalesce("_o", "ratio").alias("ratio"))

@@ -93,3 +93,65 @@ def apply_contract(df: DataFrame, rules: dict[str, str]) -> tuple[DataFrame, Dat
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(c), F.lit(False)), F.lit(n)) for n, c in rules.items()]))
     marked = df.withColumn("reasons", failed)
     return marked.where(F.size("reasons") == 0).drop("reasons"), marked.where(F.size("reasons") > 0)
+
+
+def replace_days(target: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """The batch in place of all rows of its keys; keys may repeat on either side."""
+    return target.join(batch.select(*keys).distinct(), keys, "left_anti").unionByName(batch)
+
+
+def backfill_targets(docs: DataFrame, wanted: DataFrame, code: str) -> DataFrame:
+    """Documents that are wanted, each once, with the code of the wanted row (the smallest if there are several)."""
+    codes = wanted.groupBy("doc_id").agg(F.min(code).alias(code))
+    return docs.drop(code).dropDuplicates(["doc_id"]).join(codes, "doc_id")
+
+
+def resolve_metadata(index: DataFrame, submissions: DataFrame) -> DataFrame:
+    """Rows of ``index`` with the exact metadata of their accession number; ``submissions`` has arrays of equal length."""
+    fields = ["accessionNumber", "filingDate", "form", "primaryDocument", "primaryDocDescription"]
+    rows = submissions.select("cik", F.explode(F.arrays_zip(*fields)).alias("x")).select("cik", *[F.col(f"x.{f}").alias(f) for f in fields])
+    plain = F.regexp_replace("accessionNumber", "-", "")
+    return index.join(rows.withColumn("accession_number", plain).drop("form"), ["cik", "accession_number"], "left")
+
+
+def edinet_facts(rows: DataFrame) -> DataFrame:
+    """Rows of ``read_filing_archives`` to facts; lines without a number go.
+
+    Value: the ninth cell, or the last of narrower files. Name: the second cell. Unit: the eighth, else pure. Context:
+    the third, else the file's name.
+    """
+    cells = [F.col(f"c{i}") for i in range(9)]
+    value = F.get(F.array(*cells), F.least("width", F.lit(9)) - 1)
+    facts = rows.select(
+        F.regexp_extract("path", r"([^/]+)\.zip$", 1).alias("doc_id"), F.when(F.col("width") >= 2, F.col("c1")).otherwise(F.col("c0")).alias("item_name"), parse_number(value).alias("item_value"),
+        F.when(F.col("width") >= 8, F.col("c7")).otherwise("pure").alias("unit"), F.when(F.col("width") >= 3, F.col("c2")).otherwise(F.col("file_name")).alias("context_id"), F.lit("FY").alias("fiscal_period"))
+    return facts.where("item_value is not null")
+
+
+def fiscal_year(rows: DataFrame, filings: DataFrame) -> DataFrame:
+    """``doc_id, fiscal_year``: of the end date in the document's DEI file, else of ``submitted``."""
+    dei = rows.where(F.lower("file_name").contains("jpdei") & F.col("c0").contains("CurrentFiscalYearEndDateDEI"))
+    first = dei.groupBy(F.regexp_extract("path", r"([^/]+)\.zip$", 1).alias("doc_id"), "file_name").agg(F.min_by("c8", "line").alias("end"))
+    year = first.withColumn("y", F.year(F.col("end").try_cast("date"))).where("y is not null").groupBy("doc_id").agg(F.min_by("y", "file_name").alias("y"))
+    return filings.join(year, "doc_id", "left").select("doc_id", F.coalesce("y", F.year("submitted")).alias("fiscal_year"))
+
+
+def pack_sections(df: DataFrame, key: str, name: str, content: str) -> DataFrame:
+    """The sections of each document as one JSON object, by name; of a name that repeats the greatest text stays."""
+    once = df.where(F.col(name).isNotNull()).groupBy(key, name).agg(F.max(content).alias(content))
+    return once.groupBy(key).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, content))))).alias("sections"))
+
+
+def evolve_transactions(df: DataFrame) -> DataFrame:
+    """Old transactions in today's columns: date is timestamp, memo is there, currency is there and never null."""
+    if "date" in df.columns and "timestamp" not in df.columns:
+        df = df.withColumnRenamed("date", "timestamp")
+    if "memo" not in df.columns:
+        df = df.withColumn("memo", F.lit(None).cast("string"))
+    return df.withColumn("currency", F.coalesce("currency", F.lit("USD")) if "currency" in df.columns else F.lit("USD"))
+
+
+def migrate_facts(df: DataFrame) -> DataFrame:
+    """Stored facts in the narrower layout: redundant columns gone, types fixed."""
+    kinds = {"doc_id": "string", "item_name": "string", "item_value": "double", "unit": "string", "context_id": "string", "fiscal_year": "int", "fiscal_period": "string", "session_id": "string"}
+    return df.select(*[F.col(c).try_cast(t).alias(c) for c, t in kinds.items()])

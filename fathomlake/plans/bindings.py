@@ -50,6 +50,15 @@ SQL = {
         WHEN 'PROMO' THEN 'CASH' WHEN 'SMALL' THEN 'GOLD' ELSE 'CRYPTO' END AS category, sum(l.l_extendedprice) AS value
         FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey
         GROUP BY o.o_custkey, p.p_brand, p.p_type""",
+    "crypto_meta": "SELECT p_brand AS ticker, count(*) AS supply, max(p_retailprice) AS market_cap FROM part GROUP BY p_brand",
+    "account_inputs": """SELECT o_custkey AS account_id, sum(CASE WHEN o_orderpriority LIKE '1%' THEN o_totalprice ELSE 0 END) AS sp500,
+        sum(CASE WHEN o_orderpriority LIKE '2%' THEN o_totalprice ELSE 0 END) AS us_stock, sum(CASE WHEN o_orderpriority LIKE '3%' THEN o_totalprice ELSE 0 END) AS jp_bond,
+        sum(CASE WHEN o_orderpriority LIKE '4%' THEN o_totalprice ELSE 0 END) AS btc FROM orders GROUP BY o_custkey""",
+    "asset_config": """SELECT * FROM (VALUES ('sp500', 'INDEX'), ('us_stock', 'STOCK'), ('jp_bond', 'BOND'), ('btc', 'CRYPTO')) AS t(asset, category)""",
+    "progress": """SELECT CAST(ts AS DATE) AS target_date, CASE WHEN event_type IN ('click', 'view') THEN 'completed' ELSE 'failed' END AS status,
+        ts AS updated_at FROM events""",
+    "directory": """SELECT upper(c_mktsegment) AS symbol, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'NYSE' ELSE 'OTC' END AS exchange,
+        CASE WHEN c_custkey % 2 = 0 THEN 'US' ELSE 'JP' END AS market FROM customer""",
     "allocation_target": """SELECT category, CAST(ratio AS DOUBLE) AS ratio FROM (VALUES ('INDEX', 0.60), ('STOCK', 0.25), ('BOND', 0.00),
         ('GOLD', 0.00), ('CASH', 0.10), ('CRYPTO', 0.05)) AS t(category, ratio)""",
 }

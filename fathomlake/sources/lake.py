@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.scalars import accession
+from ..operators.series import latest_wins
 
 #: Columns of the members of an archive; further cells of a line are left out.
 CELLS = [f"c{i}" for i in range(9)]
@@ -71,6 +72,11 @@ def register_lake(spark: SparkSession, root: str, tables: list[str]) -> None:
         spark.read.parquet(f"{root}/{t}").createOrReplaceTempView(t)
 
 
+def compact_latest(spark: SparkSession, path: str, out: str, keys: list[str], order: list[str]) -> None:
+    """Write the last row of every key to ``out``, a new place; the caller switches readers to it."""
+    latest_wins(spark.read.parquet(path), keys, order).write.mode("errorifexists").parquet(out)
+
+
 def lake_audit(tables: dict[str, DataFrame]) -> DataFrame:
     """``table_name, n``: the rows of every table, counted side by side."""
     counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in tables.items()]
@@ -91,10 +97,10 @@ def _text(raw: bytes) -> str:
 
 
 def _members(batches):
-    names = ["path", "file_name", "line", *CELLS]
+    names = ["path", "file_name", "line", "width", *CELLS]
 
     def flush(held):
-        cells = [pa.array([row[i] for row in held], pa.int32() if n == "line" else pa.string()) for i, n in enumerate(names)]
+        cells = [pa.array([row[i] for row in held], pa.int32() if n in ("line", "width") else pa.string()) for i, n in enumerate(names)]
         return pa.RecordBatch.from_arrays(cells, names)
 
     held: list[list] = []
@@ -114,7 +120,7 @@ def _members(batches):
                 width = len(next(lines, []))
                 for i, cells in enumerate(lines):
                     if cells and len(cells) <= width:
-                        held.append([path, name, i, *(cells + [None] * len(CELLS))[: len(CELLS)]])
+                        held.append([path, name, i, width, *(cells + [None] * len(CELLS))[: len(CELLS)]])
                     if len(held) >= _ROWS:
                         yield flush(held)
                         held = []
@@ -122,10 +128,10 @@ def _members(batches):
 
 
 def read_filing_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``path, file_name, line, c0..c8`` of the CSV members of all ZIP files under ``path``.
+    """``path, file_name, line, width, c0..c8`` of the CSV members of all ZIP files under ``path``.
 
     The first line of a member, and lines with more cells than it, are left out; files that are no archives give no rows.
     A task holds one archive at a time, and gives out its lines in batches.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInArrow(_members, f"path string, file_name string, line int, {', '.join(f'{c} string' for c in CELLS)}")
+    return files.mapInArrow(_members, f"path string, file_name string, line int, width int, {', '.join(f'{c} string' for c in CELLS)}")
