@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from fathomlake.llm import decontamination, jaccard, packing, suffix, toxicity
 from fathomlake.llm.common import cut, documents
 
+#: Bytes of a string that counts as repeated: passages of just over 50 words have from about 200 on.
+PASSAGE = 200
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go. The score depends on the text alone, so rows without doc_id are judged too."""
@@ -28,8 +31,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in strings of 400 that occur elsewhere go, in all places; the documents stay, ``n_chars`` is counted anew."""
-    left = suffix.remove_repeats(docs, ["n_removed", "kept"]).select("doc.*", F.col("n_removed").alias("cut_bytes"), F.col("kept").alias("text"))
+    """Bytes in strings of PASSAGE that occur elsewhere go, in all places; the documents stay, ``n_chars`` is counted anew."""
+    left = suffix.remove_repeats(docs, ["n_removed", "kept"], PASSAGE).select("doc.*", F.col("n_removed").alias("cut_bytes"), F.col("kept").alias("text"))
     return left.withColumn("n_chars", F.when(F.col("cut_bytes") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

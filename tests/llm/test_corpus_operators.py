@@ -266,3 +266,13 @@ def test_pipeline_stages(spark):
             assert {r.doc_id for r in kept.collect()} == want
     last = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
     assert {r.doc_id for r in last.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.collect()}
+
+
+def test_pipeline_cuts_passages_of_51_words(spark):
+    rng = random.Random(11)
+    passage = prose(rng, 51)
+    assert 200 <= len(passage) < 400
+    rows = [(1, prose(rng, 90) + " " + passage + " " + prose(rng, 90)), (2, prose(rng, 70) + "\n" + passage + "\n" + prose(rng, 70)), (3, prose(rng, 200))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_bytes(spark, docs, SF).collect()}
+    assert passage not in left[1] and passage not in left[2] and left[3] == rows[2][1]
