@@ -24,10 +24,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest doc_id stays; rows without doc_id all stay."""
-    classes = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(cut(gone, "gone"), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    """Of each group of near-duplicate rows one stays: that of the smallest doc_id, rows without doc_id last.
+
+    Rows are told apart by an id of their own, so one that repeats a doc_id or has none is judged by its own text.
+    """
+    rows = cut(docs.withColumn("row_id", F.monotonically_increasing_id()), "rows")
+    classes = jaccard.near_duplicates(rows.select(F.col("row_id").alias("doc_id"), "text")).where("n_links > 0")
+    named = rows.select("row_id", F.col("doc_id").isNull().alias("unnamed"), "doc_id")
+    members = cut(classes.select(F.col("doc_id").alias("row_id"), "class_id").join(named, "row_id"), "classes")
+    first = members.groupBy("class_id").agg(F.min(F.struct("unnamed", "doc_id", "row_id"))["row_id"].alias("first_id"))
+    gone = members.join(first, "class_id").where("row_id <> first_id").select("row_id")
+    return rows.join(cut(gone, "gone"), "row_id", "left_anti").select(docs.columns)
 
 
 def drop_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

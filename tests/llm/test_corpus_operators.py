@@ -276,3 +276,12 @@ def test_pipeline_cuts_passages_of_51_words(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     left = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_bytes(spark, docs, SF).collect()}
     assert passage not in left[1] and passage not in left[2] and left[3] == rows[2][1]
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    rng = random.Random(12)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    rows = [(9, a), (3, a), (3, b), (3, a), (None, a), (None, c), (None, c), (7, d), (7, d), (8, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = Counter((r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, SF).collect())
+    assert left == Counter([(3, a), (3, b), (None, c), (7, d), (8, None), (8, "")])
