@@ -23,17 +23,47 @@ UNIT = r"[^.!?\n]+[.!?\n]*|[.!?\n]+"
 _unit = regex.compile(UNIT)
 
 
-def _digests(least: int):
+#: A unit that never reaches over the end of its line.
+_within = regex.compile(r"[^.!?\n]+[.!?]*\n*|[.!?]+\n*|\n+")
+
+
+def _md5(words: list[str], before: str = "") -> bytes:
+    return hashlib.md5((before + " ".join(words).lower()).encode(), usedforsecurity=False).digest()
+
+
+def _units(text: str, lines: bool) -> list[tuple[int, int, int]]:
+    """Begin and end of each unit, and the place of the first unit of its line (without ``lines``: its own)."""
+    out, line = [], 0
+    for k, m in enumerate((_within if lines else _unit).finditer(text)):
+        line = line if lines else k
+        out.append((m.start(), m.end(), line))
+        if m[0][-1] == "\n":
+            line = k + 1
+    return out
+
+
+def _digests(least: int, lines: bool):
+    """With ``lines`` a place is twice the place of a unit, or one more for the line that begins there."""
+
     def run(batches):
         for batch in batches:
             rid, place, digest = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
-                for k, m in enumerate(_unit.finditer(text or "")):
-                    w = m[0].split()
-                    if len(w) >= least:
+                text = text or ""
+                whole: dict[int, list[str]] = {}
+                for k, (a, b, line) in enumerate(_units(text, lines)):
+                    w = text[a:b].split()
+                    if len(w) >= (1 if lines else least):
+                        rid.append(i)
+                        place.append(2 * k if lines else k)
+                        digest.append(_md5(w))
+                    if lines:
+                        whole.setdefault(line, [a, b])[1] = b
+                for line, (a, b) in whole.items():
+                    if w := text[a:b].split():
                         rid.append(i)
-                        place.append(k)
-                        digest.append(hashlib.md5(" ".join(w).lower().encode(), usedforsecurity=False).digest())
+                        place.append(2 * line + 1)
+                        digest.append(_md5(w, "\n"))
             both = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
             at = pa.array(rid, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(place, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["doc_id", "th", "place", "d1", "d2"])
@@ -41,21 +71,40 @@ def _digests(least: int):
     return run
 
 
-def _kept(least: int):
+def _between(long: np.ndarray, out: np.ndarray) -> None:
+    """Shorter units go if the nearest longer ones on both sides go."""
+    at = np.flatnonzero(long)
+    for i in np.flatnonzero(~long):
+        k = np.searchsorted(at, i)
+        out[i] = 0 < k < len(at) and out[at[k - 1]] and out[at[k]]
+
+
+def _touching(again: np.ndarray, out: np.ndarray) -> None:
+    """Units that stood earlier (``again``) go if they touch one that goes."""
+    n = len(out)
+    for order in (range(1, n), range(n - 2, -1, -1)):
+        for i in order:
+            out[i] |= again[i] and out[i - order.step]
+
+
+def _kept(least: int, lines: bool):
     def run(batches):
         for batch in batches:
             rows = []
             for text, gone in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 text = text or ""
-                spans = [(m.start(), m.end(), len(m[0].split())) for m in _unit.finditer(text)]
+                spans = _units(text, lines)
                 out = np.zeros(len(spans), bool)
-                out[gone or []] = True
                 if gone:
-                    long = np.array([n >= least for *_, n in spans])
-                    at = np.flatnonzero(long)
-                    for i in np.flatnonzero(~long):
-                        k = np.searchsorted(at, i)
-                        out[i] = 0 < k < len(at) and out[at[k - 1]] and out[at[k]]
+                    long = np.array([len(text[a:b].split()) >= least for a, b, _ in spans])
+                    if lines:
+                        again = np.zeros(len(spans), bool)
+                        again[[p // 2 for p in gone if p % 2 == 0]] = True
+                        out = again & long | np.isin([line for *_, line in spans], [p // 2 for p in gone if p % 2])
+                        _touching(again, out)
+                    else:
+                        out[gone] = True
+                        _between(long, out)
                 removed = [spans[i] for i in np.flatnonzero(out)]
                 kept = "".join(text[a:b] for (a, b, _), x in zip(spans, out, strict=True) if not x)
                 rows.append((len(text), len(spans), len(removed), sum(b - a for a, b, _ in removed), ",".join(f"{a}-{b}" for a, b, _ in removed), kept, hashlib.md5(kept.encode(), usedforsecurity=False).hexdigest()))
@@ -66,21 +115,22 @@ def _kept(least: int):
     return run
 
 
-def remove_repeated_units(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def remove_repeated_units(docs: DataFrame, least: int = LEAST, lines: bool = False) -> DataFrame:
     """``doc_id, n_chars, n_units, n_removed, removed_chars, spans, kept, kept_md5`` for each row of ``docs(doc_id, text)``.
 
     ``spans``: the removed units, ``begin-end`` in characters of the original text, joined by commas; ``kept``: the
     text left. A null text is empty; a null doc_id has no rank, so its row stays whole and counts for no other; rows that
-    repeat doc_id and text are one document. No rows give none; other columns aren't read.
+    repeat doc_id and text are one document. No rows give none; other columns aren't read. ``lines``: whole lines are units
+    too; op9 goes without, as its SQL does.
     """
     held = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    found = held.where("doc_id is not null").mapInArrow(_digests(least), "doc_id long, th long, place int, d1 long, d2 long")
+    found = held.where("doc_id is not null").mapInArrow(_digests(least, lines), "doc_id long, th long, place int, d1 long, d2 long")
     found = cut(found, "units")
     first = found.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "th", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
     gone = found.join(first, ["d1", "d2"]).where(F.struct("doc_id", "th", "place") != F.col("first"))
     gone = gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("place")).alias("gone"))
     every = held.join(gone, ["doc_id", "th"], "left").select("doc_id", "text", "gone")
-    return every.mapInArrow(_kept(least), "doc_id long, n_chars long, n_units long, n_removed long, removed_chars long, spans string, kept string, kept_md5 string")
+    return every.mapInArrow(_kept(least, lines), "doc_id long, n_chars long, n_units long, n_removed long, removed_chars long, spans string, kept string, kept_md5 string")
 
 
 def op9_substring_dedup(spark, sf_dir):
