@@ -1,13 +1,13 @@
 """Toxicity by weak supervision.
 
-1. From a bounded sample of labelled documents (``SAMPLE`` rows, by hash) words and word beginnings are mined that toxic
-   documents have far more often. They are dealt out to lexicon voters (whole words) and pattern voters (beginnings of
+1. From all labelled documents words and word beginnings are mined that toxic documents have far more often; they are
+   counted by label with partial sums and chosen by statistical tests alone. They are dealt out to lexicon voters (whole words) and pattern voters (beginnings of
    4 to 9 letters), and two more voters look for several of them and for none.
 2. All documents vote. A generative label model is fitted to the counts of all vote patterns by EM: a prior, each voter's
    rates on toxic and clean documents, and, from what its posterior leaves unexplained, the correlations between voters,
-   by which correlated votes count for less. The sample's labels hold the two classes in place: they count as one more
+   by which correlated votes count for less. The given labels hold the two classes in place: they count as one more
    voter, of accuracy ``TRUST``, and weigh as much as all documents without.
-3. A linear classifier over the mined terms is trained on the posterior labels of the sample and scores every document.
+3. A linear classifier over the mined terms is trained on the posterior labels of the labelled documents and scores every document.
 
 Labels are taken only from rows whose held-out remainder isn't 0, and labels, lang, source and doc_id are no inputs.
 """
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, documents
 
-SAMPLE, TERMS, LEXICONS = 12_000, 3_000, 5
+LEXICONS = 5
 SHORT, LONG = 4, 9
 #: Log odds that a mined term has at least, two standard errors down; how far a given label is trusted.
 LEAST_ODDS, TRUST = 1.0, 0.99
@@ -54,46 +54,40 @@ class Matcher:
 
 
 def _counted(batches):
-    """Rows (text, toxic) to counts of documents by term and label."""
+    """Rows (text, toxic) to counts of documents by term and label; a term may come more than once."""
+
+    def out(counts):
+        terms = list(counts[0].keys() | counts[1].keys())
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([counts[k][t] for t in terms], pa.int64()) for k in (1, 0))], ["term", "toxic", "clean"])
+
     counts: list[Counter] = [Counter(), Counter()]
     for batch in batches:
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts[toxic].update({t for w in set(_word.findall((text or "").lower())) for t in terms_of(w)})
-    terms = list(counts[1])
-    if terms:
-        yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array([counts[1][t] for t in terms], pa.int64()), pa.array([counts[0][t] for t in terms], pa.int64())], ["term", "toxic", "clean"])
+        if len(counts[0]) + len(counts[1]) > 500_000:
+            yield out(counts)
+            counts = [Counter(), Counter()]
+    yield out(counts)
 
 
-def mined(sample: DataFrame) -> list[str]:
-    """At most ``TERMS`` terms, the most telling first: by the lower end of their log odds against the sample's."""
-    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+def mined(labelled: DataFrame) -> list[str]:
+    """The terms that pass the tests, the most telling first: by the lower end of their log odds."""
+    n = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos or not neg:
         return []
-    cand = sample.where("toxic = 1").select("text", "toxic").mapInArrow(_counted, "term string, toxic long, clean long")
-    cand = [r[0] for r in cand.groupBy("term").agg(F.sum("toxic").alias("n")).where("n >= 4").orderBy(F.desc("n"), "term").limit(20 * TERMS).collect()]
-    find = Matcher(cand)
-
-    def clean(batches):
-        total = np.zeros((len(cand), 2), np.int64)
-        for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[find(text), toxic] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cand))), pa.array(total[:, 1]), pa.array(total[:, 0])], ["term", "toxic", "clean"])
-
-    counts = sample.select("text", "toxic").mapInArrow(clean, "term long, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).collect()
+    counts = labelled.select("text", "toxic").mapInArrow(_counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    low = F.log((a + 0.5) / (pos + 1)) - F.log((b + 0.5) / (neg + 1)) - 2 * F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    passed = counts.where((a >= 4) & (a >= PRECISION * (a + b)) & (low > LEAST_ODDS)).select("term", "a", "b", low.alias("low")).collect()
     ranked, have = [], {}
-    for i, a, b in sorted(counts, key=lambda r: (len(cand[r[0]]), cand[r[0]])):
-        term = cand[i].rstrip("-")
-        shorter = f"{term[:-1]}-" if cand[i].endswith("-") else f"{term[: min(LONG, len(term) - 1)]}-"
-        have[cand[i]] = (a, b)
-        if a < PRECISION * (a + b) or have.get(shorter) == (a, b):  # weak, or found wherever a shorter beginning is
-            continue
-        odds = np.log((a + 0.5) / (pos + 1)) - np.log((b + 0.5) / (neg + 1))
-        spread = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if odds - 2 * spread > LEAST_ODDS:
-            ranked.append((-(odds - 2 * spread) * np.sqrt(a), cand[i]))
-    return [t for _, t in sorted(ranked)[:TERMS]]
+    for name, x, y, least in sorted(passed, key=lambda r: (len(r[0]), r[0])):
+        term = name.rstrip("-")
+        shorter = f"{term[:-1]}-" if name.endswith("-") else f"{term[: min(LONG, len(term) - 1)]}-"
+        have[name] = (x, y)
+        if have.get(shorter) != (x, y):  # else found wherever a shorter beginning is
+            ranked.append((-least * np.sqrt(x), name))
+    return [t for _, t in sorted(ranked)]
 
 
 def voters(terms: list[str]) -> np.ndarray:
@@ -119,7 +113,7 @@ class LabelModel:
     """Prior, rates of each voter by label, and discounts for correlated voters, by EM over counted vote patterns."""
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, known: np.ndarray, rounds: int = 60):
-        """``known``: rows (pattern, label, count) of the labelled sample; a label of -1: none."""
+        """``known``: rows (pattern, label, count) of the labelled documents; a label of -1: none."""
         label = np.concatenate((np.full(len(patterns), -1), known[:, 1]))
         w = np.concatenate((counts / max(1, counts.sum()), known[:, 2] / max(1, known[:, 2].sum()))) / 2
         patterns = np.concatenate((patterns, known[:, 0]))
@@ -165,17 +159,17 @@ class Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Scorer:
-    """Fit on ``labels(doc_id, toxic)`` that aren't held out, at most ``SAMPLE`` of them, and the votes of all ``docs``.
+    """Fit on all ``labels(doc_id, toxic)`` that aren't held out, and the votes of all ``docs``.
 
     Without labels of both kinds the classifier gives every text the share of toxic labels, or 0.
     """
     ids = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
-    ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sample = cut(named.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "toxic"), "sample")
-    terms = mined(sample)
+    labelled = cut(named.join(ids, "doc_id").select("text", "toxic"), "labelled")
+    terms = mined(labelled)
     if not terms:
-        share = sample.agg(F.avg("toxic")).first()[0] or 0.0
+        share = labelled.agg(F.avg("toxic")).first()[0] or 0.0
         return Scorer([], np.zeros(0), float(np.log((share + 1e-4) / (1 - share + 1e-4))))
     owner, find = voters(terms), Matcher(terms)
 
@@ -193,12 +187,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
             found = [find(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([[terms[i] for i in f] for f in found], pa.list_(pa.string())), pa.array([votes(f, owner) for f in found], pa.int64()), batch.column(1)], ["found", "pattern", "toxic"])
 
-    voted_sample = cut(sample.select("text", "toxic").mapInArrow(matched, "found array<string>, pattern long, toxic int"), "votes")
-    known = voted_sample.groupBy("pattern", "toxic").count().orderBy("pattern", "toxic").collect()
+    voted_labelled = cut(labelled.mapInArrow(matched, "found array<string>, pattern long, toxic int"), "votes")
+    known = voted_labelled.groupBy("pattern", "toxic").count().orderBy("pattern", "toxic").collect()
     model = LabelModel(np.array([r[0] for r in seen], np.int64), np.array([r[1] for r in seen], float), np.array([tuple(r) for r in known], np.int64).reshape(-1, 3))
     q = model.posterior(np.array([r[0] for r in known], np.int64), np.array([r[1] for r in known], np.int64))
     posterior = docs.sparkSession.createDataFrame([(r[0], r[1], float(x)) for r, x in zip(known, q, strict=True)], "pattern long, toxic int, q double")
-    soft = voted_sample.join(F.broadcast(posterior), ["pattern", "toxic"])
+    soft = voted_labelled.join(F.broadcast(posterior), ["pattern", "toxic"])
     soft = soft.select("found", F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("q").alias("weight")), F.struct(F.lit(0.0).alias("label"), (1 - F.col("q")).alias("weight")))).alias("x")).select("found", "x.*")
     features = CountVectorizerModel.from_vocabulary(terms, "found", "features").setBinary(True).transform(soft)
     fitted = LogisticRegression(weightCol="weight", regParam=0.0001, maxIter=60, standardization=False).fit(features)

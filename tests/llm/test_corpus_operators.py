@@ -292,3 +292,13 @@ def test_repeated_lines_of_any_length(spark):
     rows = [(1, f"menu\nOne. Two. Three.\n{long} Fine day.\nonly here\n"), (2, f"Menu \nnew. Two. words\none. two.  three.\nThen {long}\n"), (3, f"menu\nBefore. {long} Fine day.\n\nrare {long} ok"), (4, f"{long} Fine day.\nmenu")]
     got = {r.doc_id: r.kept for r in substrings.remove_repeated_units(spark.createDataFrame(rows, "doc_id long, text string"), lines=True).collect()}
     assert got == {1: rows[0][1], 2: f"new. Two. words\nThen {long}\n", 3: f"Before.\nrare {long} ok".replace("Before.\n", "Before."), 4: ""}
+
+
+def test_toxic_terms_come_from_all_labels(spark):
+    n = 30_000
+    used = spark.range(n).select(F.col("id").alias("doc_id")).where(~toxicity.held_out(F.col("doc_id")))
+    rare = {r.doc_id for r in used.orderBy(F.xxhash64("doc_id").desc()).limit(8).collect()}  # the last by hash
+    rows = [(i, f"some plain words number{i % 7} " + ("rareword" if i in rare else "vexword" if i % 8 == 0 else "fine"), int(i % 8 == 0 or i in rare)) for i in range(n)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scorer = toxicity.train(labelled.select("doc_id", "text"), labelled.select("doc_id", "toxic"))
+    assert [scorer.weights[i] > 0 for i in scorer.find("rareword")] == [True]
