@@ -5,17 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Display symbols and section names.
+#: Display symbols.
 CURRENCY_SYMBOLS = {"USD": "$", "JPY": "¥", "EUR": "€", "CNY": "¥"}
 
+#: Tags of narrative sections that have names of their own.
+SECTION_NAMES = {
+    "BusinessRisksTextBlock": "business_risk",
+    "ManagementPolicyBusinessEnvironmentIssuesToAddressTextBlock": "management_policy",
+    "ResearchAndDevelopmentActivitiesTextBlock": "research_development",
+    "AnalysisOfFinancialPositionOperatingResultsAndCashFlowsTextBlock": "mda",
+}
+
 
 def stable4(x: Column) -> Column:
     """``x`` to four places in a way that does not depend on an engine's rounding of ties; -0.0 becomes 0.0."""
     return F.floor(x * F.lit(1e4) + F.lit(0.501)) / F.lit(1e4) + F.lit(0.0)
 
 
-def normalize_jp_code(c: Column) -> Column:
-    return F.when((F.length(c) == 5) & c.endswith("0"), F.substring(c, 1, 4)).otherwise(c)
+def normalize_jp_code(c: Column, suffix: str = "") -> Column:
+    """Of five characters with a final 0 the first four, white space around it aside; with an exchange's ``suffix`` (.T)."""
+    bare = F.trim(c)
+    code = F.when((F.length(bare) == 5) & bare.endswith("0"), F.substring(bare, 1, 4)).otherwise(bare)
+    return F.concat(code, F.lit(suffix)) if suffix else code
 
 
 def standardize_ticker(c: Column) -> Column:
@@ -44,9 +55,11 @@ def profile_hash(*fields: str) -> Column:
 
 
 def normalize_section(c: Column) -> Column:
-    """A tag's name in snake case without its TextBlock ending."""
+    """The section that a tag names: its fixed name, or the tag in snake case without its TextBlock ending."""
     bare = F.regexp_replace(c, "TextBlock$", "")
-    return F.lower(F.regexp_replace(F.regexp_replace(bare, "(.)([A-Z][a-z]+)", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2"))
+    # The two patterns that part words.
+    plain = F.lower(F.regexp_replace(F.regexp_replace(bare, "(.)([A-Z][a-z]+)", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2"))
+    return F.coalesce(*[F.when(c == tag, name) for tag, name in SECTION_NAMES.items()], plain)
 
 
 def clean_text(c: Column) -> Column:
@@ -55,7 +68,8 @@ def clean_text(c: Column) -> Column:
 
 
 def to_day(c: Column) -> Column:
-    return F.to_date(c)
+    """The day of a date, a time or an ISO text; a text's zone is dropped, not applied, and what is no date is null."""
+    return F.to_date(F.substring(c.cast("string"), 1, 10).try_cast("date"))
 
 
 def accession(c: Column) -> Column:

@@ -25,6 +25,12 @@ def pending_documents(candidates: DataFrame, filings: DataFrame, log: DataFrame)
     return candidates.join(done, "doc_id", "left_anti")
 
 
+def companies_in_batch(df: DataFrame, codes: tuple[str, ...] = ("LocalCode", "Code")) -> DataFrame:
+    """``code``: the companies of a batch, once each, from the first of the columns that it has."""
+    column = next(c for c in codes if c in df.columns)
+    return df.select(F.col(column).cast("string").alias("code")).where("code is not null").distinct()
+
+
 def missing_dates(done: DataFrame, end: str, days: int, date: str = "date") -> DataFrame:
     """Days of the range that ends with ``end`` that aren't in ``done``, the newest first."""
     span = F.sequence(F.date_sub(F.lit(end).cast("date"), days - 1), F.lit(end).cast("date"))
@@ -51,14 +57,37 @@ def melt_facts(df: DataFrame, ids: list[str]) -> DataFrame:
     return long.withColumn("fact_id", fact_key(*[F.col(c) for c in ids], F.col("tag")))
 
 
-def search_filings(df: DataFrame, code: str | None = None, name: str | None = None, form: str | None = None, n: int = 1000) -> DataFrame:
+def stack_statements(df: DataFrame, item: str, period_type: str, keys: list[str]) -> DataFrame:
+    """A matrix of items by dates (every other column is named by its date) to ``*keys, item, date, value, period_type``;
+    days as ISO texts, cells without a value left out."""
+    dates = [c for c in df.columns if c not in (*keys, item)]
+    wide = df.select(*keys, F.col(item).alias("item"), *[F.col(f"`{c}`").cast("double").alias(c) for c in dates])
+    long = wide.unpivot([*keys, "item"], [F.col(f"`{c}`") for c in dates], "_date", "value").where("value is not null")
+    return long.select(*keys, "item", F.date_format(F.to_date(F.substring("_date", 1, 10)), "yyyy-MM-dd").alias("date"), "value", F.lit(period_type).alias("period_type"))
+
+
+def normalize_us_facts(df: DataFrame) -> DataFrame:
+    """Facts in the stored layout: rows without a value go, numbers and days get their types, and the key is the md5 of
+    ticker, accession number, concept and the three period days that are there, as they came."""
+    key = fact_key(*[F.col(c) for c in ("ticker", "accession_number", "concept", "period_start", "period_end", "period_instant")])
+    days = [F.to_date(F.col(c)).alias(c) for c in ("period_start", "period_end", "period_instant")]
+    return df.where("numeric_value is not null").select(key.alias("fact_id"), "accession_number", "ticker", "concept", "label", F.col("numeric_value").cast("double").alias("value"), F.col("unit_ref").alias("unit"), F.col("fiscal_year").cast("int").alias("fiscal_year"), "fiscal_period", *days)
+
+
+def search_filings(df: DataFrame, code: str | None = None, name: str | None = None, form: str | None = None, n: int = 1000, since: str | None = None, until: str | None = None, at: str = "doc_id") -> DataFrame:
+    """The ``n`` newest filings by ``at`` that match all that is given; ``since`` and ``until`` are bounds of ``at``, included."""
+    kind = dict(df.dtypes)[at]
+    if since is not None:
+        df = df.where(F.col(at) >= F.lit(since).cast(kind))
+    if until is not None:
+        df = df.where(F.col(at) <= F.lit(until).cast(kind))
     if code:
         df = df.where(F.col("edinet_code") == code)
     if name:
         df = df.where(F.col("sec_code").contains(name))
     if form:
         df = df.where(F.col("form_code") == form)
-    return df.orderBy(F.desc("doc_id")).limit(n)
+    return df.orderBy(F.desc(at), *(["doc_id"] if at != "doc_id" and "doc_id" in df.columns else [])).limit(n)
 
 
 def coalesce_sections(primary: DataFrame, secondary: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -84,8 +113,15 @@ def apply_changes(tx: DataFrame, changes: DataFrame, key: str, order: list[str])
     return tx.join(last, key, "left_anti").unionByName(last.where("op <> 'D'").select(tx.columns))
 
 
+def missing_changes(tx: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """Updates and deletions of keys that ``tx`` hasn't."""
+    return changes.where("op in ('U', 'D')").join(tx, key, "left_anti")
+
+
 def ingestion_state(log: DataFrame, key: str, order: list[str]) -> DataFrame:
-    return log.groupBy(key).agg((F.count("*") - 1).alias("retry_count"), F.max_by("status", F.struct(*order)).alias("status"))
+    """Attempts but the first, and what the last one came to; with its error message where the log has one."""
+    last = [F.max_by(c, F.struct(*order)).alias(c) for c in ("status", "error_message") if c in log.columns]
+    return log.groupBy(key).agg((F.count("*") - 1).alias("retry_count"), *last)
 
 
 def apply_contract(df: DataFrame, rules: dict[str, str]) -> tuple[DataFrame, DataFrame]:

@@ -30,19 +30,12 @@ def convert_currency(df: DataFrame, fx: DataFrame, value: str, target: str) -> D
 def asof_price(tx: DataFrame, px: DataFrame, tolerance_days: int = 5) -> DataFrame:
     """``px(date, price)`` of the trade date or the nearest day before it within the tolerance; 0 counts as missing.
 
-    An equality join on the days looked at, so it is hashed or merged and never loops.
+    Every price is offered to the days that can still see it and the nearest stays, once for each day; trades join their
+    day by equality, so the join is hashed or merged and never loops, and no row needs an id.
     """
-    known = px.where("price > 0").select(F.col("date").alias("_d"), F.col("price").alias("asof_price"))
-    ids = tx.withColumn("_row", F.monotonically_increasing_id())
-    looked = ids.select("_row", F.to_date("timestamp").alias("_t")).select("_row", F.explode(F.sequence(F.lit(0), F.lit(tolerance_days))).alias("_o"), "_t").withColumn("_d", F.date_sub("_t", F.col("_o")))
-    found = looked.join(known, "_d").groupBy("_row").agg(F.min_by("asof_price", "_o").alias("asof_price"))
-    return ids.join(found, "_row").drop("_row")
-
-
-def asof_trade_dates(tx: DataFrame, px: DataFrame, tolerance_days: int = 5) -> DataFrame:
-    """The same when many trades share a date: looked up once for each date, then joined."""
-    days = tx.select(F.to_date("timestamp").alias("timestamp")).distinct()
-    near = asof_price(days, px, tolerance_days).select(F.col("timestamp").alias("_day"), "asof_price")
+    known = px.where("price > 0").select(F.col("date").alias("_d"), F.col("price").alias("_p"))
+    offered = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(tolerance_days))).alias("_o")).select(F.date_add("_d", F.col("_o")).alias("_day"), "_o", "_p")
+    near = offered.groupBy("_day").agg(F.min_by("_p", F.struct("_o", "_p")).alias("asof_price"))
     return tx.join(near, F.to_date(tx["timestamp"]) == F.col("_day")).drop("_day")
 
 
@@ -50,7 +43,7 @@ def shadow_benchmark(tx: DataFrame, px: DataFrame, fx: DataFrame, by: list[str])
     """What the invested money would hold of the benchmark: units and USD cost; buys without a price in reach are left out."""
     buys = tx.where("type = 'BUY'").withColumn("currency", F.coalesce("currency", F.lit("USD"))).withColumn("amount", F.col("quantity") * F.col("price"))
     usd = convert_currency(buys, fx, "amount", "USD")
-    return asof_trade_dates(usd, px).groupBy(*by).agg(F.sum("converted").alias("shadow_cost"), F.sum(F.col("converted") / F.col("asof_price")).alias("shadow_units"))
+    return asof_price(usd, px).groupBy(*by).agg(F.sum("converted").alias("shadow_cost"), F.sum(F.col("converted") / F.col("asof_price")).alias("shadow_units"))
 
 
 def alpha_metrics(df: DataFrame) -> DataFrame:
@@ -69,19 +62,55 @@ def cost_basis_usd(tx: DataFrame, pos: DataFrame, fx: DataFrame) -> DataFrame:
 
 
 def portfolio_summary(assets: DataFrame) -> DataFrame:
-    """Market value, gain and weight of each asset, and its account's total; ``assets`` has quantity, price, avg_price."""
+    """Market value, gain, gain in percent of the cost, and weight of each asset, and its account's total; ``assets`` has quantity, price, avg_price."""
     total = F.sum("market_value").over(W.partitionBy("account_id"))
-    out = assets.withColumn("market_value", F.col("quantity") * F.col("price")).withColumn("gain", (F.col("price") - F.col("avg_price")) * F.col("quantity"))
+    paid = F.col("avg_price") * F.col("quantity")
+    out = assets.withColumn("market_value", F.col("quantity") * F.col("price")).withColumn("gain", (F.col("price") - F.col("avg_price")) * F.col("quantity")).withColumn("gain_pct", F.coalesce(F.try_divide("gain", paid) * 100, F.lit(0.0)))
     return out.withColumn("total", total).withColumn("weight", F.coalesce(F.try_divide("market_value", "total") * 100, F.lit(0.0)))
 
 
-def top_holdings(assets: DataFrame, k: int) -> DataFrame:
+def top_holdings(assets: DataFrame, k: int | None = None, asset_type: str | None = None) -> DataFrame:
+    """The assets (of one type) of each account with their rank by market value; the first ``k`` of them."""
+    if asset_type is not None:
+        assets = assets.where(F.col("asset_type") == asset_type)
     order = W.partitionBy("account_id").orderBy(F.desc("market_value"), "ticker", "asset_type", "currency")
-    return assets.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = assets.withColumn("rank", F.row_number().over(order))
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
+def gain_totals(assets: DataFrame) -> DataFrame:
+    """Market value, gain and gain in percent of the cost of each account; ``assets``: ``portfolio_summary``."""
+    cost = F.sum(F.col("avg_price") * F.col("quantity"))
+    gain = F.sum("gain")
+    return assets.groupBy("account_id").agg(F.sum("market_value").alias("total_market_value"), gain.alias("total_gain"), F.coalesce(F.try_divide(gain, cost) * 100, F.lit(0.0)).alias("gain_percent"))
+
+
+def currencies_needed(pos: DataFrame, display: str) -> DataFrame:
+    """Currencies of the positions, USD and the one shown, once each."""
+    have = pos.select(F.coalesce("currency", F.lit("USD")).alias("currency")).distinct()
+    named = have.sparkSession.range(1).select(F.explode(F.array(F.lit("USD"), F.lit(display))).alias("currency"))
+    return have.union(named).distinct()
+
+
+def transactions_desc(tx: DataFrame, *ties: str) -> DataFrame:
+    """The newest first; ``ties``: columns that order trades of the same time."""
+    return tx.orderBy(F.desc("timestamp"), *ties)
 
 
 def daily_values(px: DataFrame, pos: DataFrame, dates: DataFrame) -> DataFrame:
-    """Value of each account on each of ``dates(date)``; days without a positive total are left out."""
+    """Value of each account on each of ``dates(date)``, a few years of days; days without a positive total are left out.
+
+    A ticker's closes on those days are one array, so the join has a row for each holding and not for each holding and day,
+    and an account's arrays are summed place by place before they become rows. A ticker that many hold is skewed on the
+    side of the holdings only, which adaptive execution splits; Spark broadcasts the tickers when they are small.
+    """
+    days = dates.select("date").distinct().agg(F.sort_array(F.collect_list("date")).alias("days"))
     held = pos.groupBy("account_id", "ticker").agg(F.sum("quantity").alias("quantity"))
     priced = px.where("close is not null").select("ticker", "date", "close").join(dates, "date")
-    return held.join(priced, "ticker").groupBy("account_id", "date").agg(F.sum(F.col("quantity") * F.col("close")).alias("value")).where("value > 0")
+    by_day = priced.groupBy("ticker").agg(F.map_from_entries(F.collect_list(F.struct("date", "close"))).alias("closes")).crossJoin(F.broadcast(days))
+    closes = by_day.select("ticker", F.transform("days", lambda d: F.coalesce(F.try_element_at("closes", d), F.lit(0.0))).alias("closes"))
+    mine = held.join(closes, "ticker").groupBy("account_id").agg(F.collect_list(F.struct("quantity", "closes")).alias("held"))
+    zero = F.transform("days", lambda d: F.lit(0.0))
+    sums = F.aggregate("held", zero, lambda total, x: F.zip_with(total, x["closes"], lambda a, c: a + c * x["quantity"]))
+    values = mine.crossJoin(F.broadcast(days)).select("account_id", F.explode(F.arrays_zip("days", sums.alias("value"))).alias("x"))
+    return values.select("account_id", F.col("x.days").alias("date"), F.col("x.value").alias("value")).where("value > 0")

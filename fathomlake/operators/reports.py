@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import CURRENCY_SYMBOLS
 from .series import daily_returns, max_drawdown, risk_metrics
 
 
@@ -93,10 +94,10 @@ def allocation_report(assets: DataFrame, drift: DataFrame) -> DataFrame:
     return rows.unionByName(drift.select("account_id", F.lit("Category").alias("type"), F.col("category").alias("name"), F.lit(None).cast("string").alias("category"), F.col("current").alias("value"), pct(share).alias("ratio"), pct(F.col("ratio")).alias("target_ratio"), "status"))
 
 
-def money(c: Column | str) -> Column:
-    """Whole yen with separators; halves go up, also where a sum comes out a millionth below."""
+def money(c: Column | str, symbol: str = "¥") -> Column:
+    """Whole units with separators; halves go up, also where a sum comes out a millionth below."""
     x = F.col(c) if isinstance(c, str) else c
-    return F.concat(F.lit("¥"), F.format_number(F.floor(x + 0.500001), 0))
+    return F.concat(F.lit(symbol), F.format_number(F.floor(x + 0.500001), 0))
 
 
 def percent(c: Column) -> Column:
@@ -104,13 +105,31 @@ def percent(c: Column) -> Column:
     return F.concat((tenths / 10).cast("decimal(20,1)").cast("string"), F.lit("%"))
 
 
-def allocation_markdown(plan: DataFrame) -> DataFrame:
-    """One Markdown document an account from ``rebalance_plan``: summary, categories against targets, purchases."""
+def _lines(keys: list[str], line: Column, name: str) -> Column:
+    """The lines of a group in the order of ``keys``, as one text; none of null."""
+    held = F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct(*keys, line.alias("t")))))
+    return F.array_join(F.transform(held, lambda x: x["t"]), "\n").alias(name)
+
+
+def allocation_markdown(plan: DataFrame, assets: DataFrame, buys: DataFrame, currency: str = "JPY") -> DataFrame:
+    """One Markdown document an account: summary, categories against targets, assets, and what to buy of which asset.
+
+    ``plan``: ``rebalance_plan``; ``assets(account_id, asset, category, value)``; ``buys``: ``split_buys``.
+    """
+    symbol = CURRENCY_SYMBOLS.get(currency, currency)
+    cells = lambda *parts: F.concat(F.lit("| "), *[x for p in parts for x in (p, F.lit(" | "))][:-1], F.lit(" |"))
     share = F.coalesce(F.try_divide("current", "total"), F.lit(0.0))
-    line = F.concat(F.lit("| "), "category", F.lit(" | "), percent(F.col("ratio")), F.lit(" | "), percent(share), F.lit(" | "), "status", F.lit(" |"))
-    buy = F.when(F.col("buy") > 0, F.concat(F.lit("- "), "category", F.lit(": "), money("buy")))
-    lines = lambda c, name: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category", c.alias("t")))), lambda x: x["t"]), "\n").alias(name)
-    doc = plan.groupBy("account_id").agg(F.max("total").alias("total"), F.max("investment").alias("investment"), lines(line, "rows"), lines(buy, "buys"))
-    head = F.concat(F.lit("# Portfolio Rebalance Report\n\n- Total: "), money("total"), F.lit("\n- Required investment: "), money("investment"))
-    body = F.concat(head, F.lit("\n\n| Category | Target | Current | Status |\n| :--- | :---: | :---: | :---: |\n"), "rows", F.lit("\n\n"), F.when(F.col("buys") == "", "No purchases.").otherwise(F.col("buys")))
+    total = plan.groupBy("account_id").agg(F.max("total").alias("total"))
+    held = assets.join(total, "account_id").withColumn("share", F.coalesce(F.try_divide("value", "total"), F.lit(0.0)))
+    held = held.groupBy("account_id").agg(_lines(["category", "asset"], cells("asset", "category", money("value", symbol), percent(F.col("share"))), "assets"))
+    parts = buys.groupBy("account_id", "category").agg(_lines(["asset"], F.concat(F.lit("- "), "asset", F.lit(": "), money("asset_buy", symbol)), "parts"))
+    full = plan.join(parts, ["account_id", "category"], "left")
+    buy = F.when(F.col("buy") > 0, F.concat(F.lit("### "), "category", F.lit(" (+"), money("buy", symbol), F.lit(")"), F.coalesce(F.concat(F.lit("\n"), "parts"), F.lit(""))))
+    line = cells("category", percent(F.col("ratio")), percent(share), "status")
+    doc = full.groupBy("account_id").agg(F.max("total").alias("total"), F.max("investment").alias("investment"), _lines(["category"], line, "rows"), _lines(["category"], buy, "buys")).join(held, "account_id")
+    head = F.concat(F.lit("# Portfolio Rebalance Report\n\n- Total: "), money("total", symbol), F.lit("\n- Required investment: "), money("investment", symbol), F.lit(f"\n- Currency: {currency}"))
+    body = F.concat(
+        head, F.lit("\n\n| Category | Target | Current | Status |\n| :--- | :---: | :---: | :---: |\n"), "rows",
+        F.lit("\n\n| Asset | Category | Value | Share |\n| :--- | :--- | :---: | :---: |\n"), "assets", F.lit("\n\n"),
+        F.when(F.col("buys") == "", "No purchases.").otherwise(F.col("buys")))
     return doc.select("account_id", body.alias("markdown"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -19,7 +19,34 @@ def high_water_mark(df: DataFrame, key: str, date: str, default: str = "2000-01-
 
 
 def latest_value(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
-    return df.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value), F.max(order[0]).alias(order[0]))
+    """The last value of each key by ``order``; one that is no number is null."""
+    known = F.max_by(value, F.struct(*order))
+    if dict(df.dtypes)[value] in ("double", "float"):
+        known = F.nanvl(known, F.lit(None).cast(dict(df.dtypes)[value]))
+    return df.groupBy(key).agg(known.alias(value), F.max(order[0]).alias(order[0]))
+
+
+def latest_rates(df: DataFrame, order: list[str]) -> DataFrame:
+    """``symbol, rate``: the last rate of each currency, and 1 for USD, whatever the loads say of it."""
+    known = latest_value(df.where("symbol <> 'USD'"), "symbol", "rate", order).select("symbol", "rate")
+    return known.union(df.sparkSession.range(1).select(F.lit("USD"), F.lit(1.0)))
+
+
+def series_asc(df: DataFrame, key: str, date: str) -> DataFrame:
+    return df.orderBy(key, date)
+
+
+def newest(df: DataFrame, at: str, n: int, *ties: str) -> DataFrame:
+    """The ``n`` newest rows: each task keeps its own, and one takes the best of those."""
+    return df.orderBy(F.desc(at), *ties).limit(n)
+
+
+def union_loads(*loads: DataFrame) -> DataFrame:
+    """Loads one after another, by column name; repeats stay, and columns that one of them lacks are null."""
+    out = loads[0]
+    for df in loads[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
 
 
 def point_in_time(df: DataFrame, keys: list[str], order: list[str], load: str, at: str) -> DataFrame:
@@ -69,7 +96,24 @@ def beta_corr(pairs: DataFrame, part: list[str], a: str, b: str) -> DataFrame:
     return out.select(*part, F.when(F.col("vb") > 0, F.col("c") / F.col("vb")).otherwise(1.0).alias("beta"), F.when((F.col("va") > 0) & (F.col("vb") > 0), F.col("c") / F.sqrt(F.col("va") * F.col("vb"))).otherwise(0.0).alias("corr"))
 
 
-def price_spikes(df: DataFrame, part: str, order: str, close: str, threshold: float = 0.5) -> DataFrame:
+def aligned_beta_corr(own: DataFrame, bench: DataFrame, part: list[str], date: str) -> DataFrame:
+    """Beta and correlation of the returns ``own(*part, date, ret)`` with ``bench(date, ret)``.
+
+    Null where a group hasn't as many returns as the benchmark, or on other days.
+    """
+    pairs = own.join(bench.select(date, F.col("ret").alias("_b")), date)
+    counts = own.groupBy(*part).agg(F.count("ret").alias("_n")).join(pairs.groupBy(*part).agg(F.count("*").alias("_both")), part, "left")
+    of_bench = bench.agg(F.count("ret").alias("_m"))
+    found = counts.crossJoin(F.broadcast(of_bench)).join(beta_corr(pairs, part, "ret", "_b"), part, "left")
+    same = (F.col("_n") == F.col("_m")) & (F.col("_both") == F.col("_m"))
+    return found.select(*part, F.when(same, F.col("beta")).alias("beta"), F.when(same, F.col("corr")).alias("corr"))
+
+
+def price_spikes(df: DataFrame, part: str, order: str, close: str, threshold: float = 0.5, split: str | None = None) -> DataFrame:
+    """Rows whose close has changed by more than the threshold; ``split``: a column of split ratios, where null, 0 and 1 are
+    none, that tells whether a change came ``with_split``."""
+    if split is not None:
+        df = df.withColumn("with_split", ~F.coalesce(F.col(split).isin(0, 1), F.lit(True)))
     before = F.lag(close).over(W.partitionBy(part).orderBy(order))
     return df.withColumn("prev", before).withColumn("change", F.try_divide(F.col(close) - F.col("prev"), F.col("prev"))).where(F.abs("change") > threshold)
 
@@ -102,11 +146,17 @@ def enforce_ohlcv(df: DataFrame, source: str, ticker: str, load: Column) -> Data
 
 
 def normalize_fx(df: DataFrame, inverse: DataFrame, start: str) -> DataFrame:
-    """Rates as 1 unit = X USD: pairs in ``inverse(symbol)`` are inverted, rows before ``start`` go."""
+    """Rates as 1 unit = X USD: pairs in ``inverse(symbol)`` are inverted, rows before ``start`` go; ``usd_rates`` has USD's."""
     flagged = df.join(inverse.withColumn("_i", F.lit(True)), "symbol", "left").where(F.col("date") >= F.lit(start).cast("date"))
     return flagged.withColumn("rate", F.when(F.col("_i"), F.try_divide(F.lit(1.0), F.col("rate"))).otherwise(F.col("rate"))).drop("_i")
 
 
+def usd_rates(spark: SparkSession, start: str, end: str) -> DataFrame:
+    """A row ``symbol, date, rate`` of 1 USD = 1 for every day of the range."""
+    days = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    return spark.range(1).select(F.lit("USD").alias("symbol"), F.explode(days).alias("date"), F.lit(1.0).alias("rate"))
+
+
 def mixed_frequency(df: DataFrame, key: str, date: str, value: str, grid: DataFrame) -> DataFrame:
     """Every key on every date of ``grid(date)``, with its last value known by then."""
     full = df.select(key).distinct().crossJoin(grid).join(df, [key, date], "left")

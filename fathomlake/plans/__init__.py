@@ -1,3 +1,3 @@
 
 
-from . import queries, statement_queries, market_queries  # noqa: F401
+from . import queries, statement_queries, market_queries, ledger_queries, cleaning_queries  # noqa: F401

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels".split()
-_DAY = "l.l_orderkey{0}, l.l_linenumber{0}, l.l_partkey{0}, l.l_suppkey{0}, l.l_extendedprice{0}, l.l_quantity{0}"
+_DAY = "(l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_extendedprice, l.l_quantity)"
 
 SQL = {
     "transactions": """SELECT o.o_custkey AS account_id, p.p_brand AS ticker,
@@ -16,12 +16,10 @@ SQL = {
         o.o_orderdate AS timestamp
         FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey
         JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey""",
-    "stock_prices": f"""SELECT ticker, CAST(d AS DATE) AS date, max(CASE WHEN a = 1 THEN px END) AS open, max(px) AS high, min(px) AS low,
-        max(CASE WHEN z = 1 THEN px END) AS close, CAST(sum(q) AS BIGINT) AS volume
-        FROM (SELECT p.p_brand AS ticker, l.l_shipdate AS d, l.l_extendedprice / l.l_quantity AS px, l.l_quantity AS q,
-        row_number() OVER (PARTITION BY p.p_brand, l.l_shipdate ORDER BY {_DAY.format("")}) AS a,
-        row_number() OVER (PARTITION BY p.p_brand, l.l_shipdate ORDER BY {_DAY.format(" DESC")}) AS z
-        FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey) t GROUP BY ticker, d""",
+    "stock_prices": f"""SELECT p.p_brand AS ticker, CAST(l.l_shipdate AS DATE) AS date, min_by(l.l_extendedprice / l.l_quantity, {_DAY}) AS open,
+        max(l.l_extendedprice / l.l_quantity) AS high, min(l.l_extendedprice / l.l_quantity) AS low,
+        max_by(l.l_extendedprice / l.l_quantity, {_DAY}) AS close, CAST(sum(l.l_quantity) AS BIGINT) AS volume
+        FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY p.p_brand, CAST(l.l_shipdate AS DATE)""",
     "benchmark_daily": """SELECT '^GSPC' AS ticker, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) / 100 AS open,
         max(o_totalprice) / 100 AS high, min(o_totalprice) / 100 AS low, (min(o_totalprice) + max(o_totalprice)) / 200 AS close, count(*) AS volume
         FROM orders WHERE extract(DAY FROM o_orderdate) NOT BETWEEN 11 AND 18 AND extract(DAY FROM o_orderdate) % 7 <> 0
@@ -50,6 +48,16 @@ SQL = {
         WHEN 'PROMO' THEN 'CASH' WHEN 'SMALL' THEN 'GOLD' ELSE 'CRYPTO' END AS category, sum(l.l_extendedprice) AS value
         FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey
         GROUP BY o.o_custkey, p.p_brand, p.p_type""",
+    "texts": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+    "us_facts": """SELECT concat('T', l_suppkey % 50) AS ticker, concat('acc-', l_orderkey) AS accession_number, concat('us-gaap:Item', l_linenumber) AS concept, 'label' AS label,
+        CASE WHEN l_quantity >= 3 THEN CAST(l_extendedprice AS STRING) END AS numeric_value, 'USD' AS unit_ref, CAST(extract(YEAR FROM l_shipdate) AS STRING) AS fiscal_year, 'FY' AS fiscal_period,
+        CASE WHEN l_linenumber % 2 = 0 THEN CAST(CAST(l_shipdate AS DATE) AS STRING) END AS period_start, CASE WHEN l_linenumber % 2 = 0 THEN CAST(CAST(l_shipdate AS DATE) + 90 AS STRING) END AS period_end,
+        CASE WHEN l_linenumber % 2 = 1 THEN CAST(CAST(l_shipdate AS DATE) AS STRING) END AS period_instant FROM lineitem""",
+    "statement_matrix": """SELECT l_suppkey AS ticker, concat('item', l_linenumber) AS item, max(CASE WHEN extract(YEAR FROM l_shipdate) = 1995 THEN l_extendedprice END) AS y1995,
+        max(CASE WHEN extract(YEAR FROM l_shipdate) = 1996 AND l_suppkey % 3 > 0 THEN l_extendedprice END) AS y1996 FROM lineitem GROUP BY l_suppkey, l_linenumber""",
+    "tags": """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'BusinessRisksTextBlock' WHEN 1 THEN 'ManagementPolicyBusinessEnvironmentIssuesToAddressTextBlock'
+        WHEN 2 THEN 'ResearchAndDevelopmentActivitiesTextBlock' WHEN 3 THEN 'AnalysisOfFinancialPositionOperatingResultsAndCashFlowsTextBlock'
+        WHEN 4 THEN 'OverviewOfBusinessTextBlock' WHEN 5 THEN 'XBRLDataOf2024Notes' ELSE lang END AS tag FROM documents""",
     "crypto_meta": "SELECT p_brand AS ticker, count(*) AS supply, max(p_retailprice) AS market_cap FROM part GROUP BY p_brand",
     "account_inputs": """SELECT o_custkey AS account_id, sum(CASE WHEN o_orderpriority LIKE '1%' THEN o_totalprice ELSE 0 END) AS sp500,
         sum(CASE WHEN o_orderpriority LIKE '2%' THEN o_totalprice ELSE 0 END) AS us_stock, sum(CASE WHEN o_orderpriority LIKE '3%' THEN o_totalprice ELSE 0 END) AS jp_bond,

@@ -117,12 +117,15 @@ def migrate_facts(facts):
     return rounded(D.migrate_facts(old), "item_value")
 
 
+_GAIN = s4("CASE WHEN ticker = '^GSPC' AND b_ret <> 0 THEN b_ret ELSE performance END")
+_US10Y = s4("(SELECT value FROM ml WHERE symbol = 'DGS10')")
+
 # ---- reports -------------------------------------------------------------------------------------------------------
 
 
 @query(f"+{SHADOW}, s AS (SELECT account_id, sum(usd) AS cost, sum(usd / bp) * (SELECT arg_max(close, date) FROM benchmark_daily) AS v FROM buys GROUP BY account_id), r AS (SELECT account_id, CASE WHEN cost > 0 THEN (v - cost) / cost * 100 ELSE 0 END AS b_ret FROM s), "
        "p AS (SELECT ticker, (arg_max(close, date) / arg_min(close, date) - 1) * 100 AS performance FROM (SELECT ticker, date, close FROM benchmark_daily UNION ALL SELECT ticker, date, close FROM stock_prices WHERE ticker = 'Brand#1') GROUP BY ticker) "
-       f"SELECT account_id, ticker, {s4('CASE WHEN ticker = chr(94) || chr(71) || chr(83) || chr(80) || chr(67) AND b_ret <> 0 THEN b_ret ELSE performance END')} AS gain FROM r CROSS JOIN p", "transactions", "stock_prices", "benchmark_daily", "fx_load")
+       f"SELECT account_id, ticker, {_GAIN} AS gain FROM r CROSS JOIN p", "transactions", "stock_prices", "benchmark_daily", "fx_load")
 def benchmark_table(tx, px, daily, fx):
     now = daily.agg(F.max_by("close", "date").alias("now"))
     shadow = P.shadow_benchmark(tx, _bench(daily), _fx(fx), ["account_id"]).crossJoin(F.broadcast(now))
@@ -153,7 +156,7 @@ def shadow_daily(tx, px, daily, fx):
 _MACRO = "ml AS (SELECT symbol, arg_max(value, struct_pack(a := load_timestamp, b := tiebreak)) AS value FROM macro_load GROUP BY symbol)"
 
 
-@query(f"+{PX}, {_MACRO} SELECT ticker, {s4('close')} AS close, {s4('(SELECT value FROM ml WHERE symbol = chr(68) || chr(71) || chr(83) || 10)')} AS us10y, CAST(0 AS DOUBLE) AS policy FROM px", "stock_prices", "macro_load")
+@query(f"+{PX}, {_MACRO} SELECT ticker, {s4('close')} AS close, {_US10Y} AS us10y, CAST(0 AS DOUBLE) AS policy FROM px", "stock_prices", "macro_load")
 def attach_macro(px, m):
     latest = S.latest_value(m, "symbol", "value", ["load_timestamp", "tiebreak"])
     return rounded(R.attach_macro(S.latest_value(px, "ticker", "close", ["date"]).select("ticker", "close"), latest, {"us10y": "DGS10", "policy": "NONE"}), "close", "us10y", "policy")
@@ -223,9 +226,17 @@ def allocation_report(h, t):
 
 _YEN = "'¥' || format('{{:,}}', CAST(floor({0} + 0.500001) AS BIGINT))"
 _PCT = "printf('%.1f', floor(({0}) * 1000 + 0.500001) / 10) || '%'"
+_MD = f"""h AS (SELECT h.account_id, string_agg('| ' || asset || ' | ' || category || ' | ' || {_YEN.format('value')} || ' | ' || {_PCT.format('coalesce(value / nullif(t.total, 0), 0)')} || ' |', chr(10) ORDER BY category, asset) AS assets
+    FROM holdings h JOIN (SELECT account_id, max(total) AS total FROM drift GROUP BY account_id) t USING (account_id) GROUP BY h.account_id),
+    w AS (SELECT *, sum(value) OVER (PARTITION BY account_id, category) AS sv, count(*) OVER (PARTITION BY account_id, category) AS n FROM holdings),
+    parts AS (SELECT w.account_id, w.category, string_agg('- ' || asset || ': ' || {_YEN.format('b.buy * CASE WHEN sv > 0 THEN w.value / sv ELSE 1e0 / n END')}, chr(10) ORDER BY asset) AS lines
+    FROM w JOIN buys b ON b.account_id = w.account_id AND b.category = w.category WHERE b.buy > 0 GROUP BY ALL)"""
 
 
-@query(f"+{DRIFT} SELECT account_id, '# Portfolio Rebalance Report' || chr(10) || chr(10) || '- Total: ' || {_YEN.format('max(total)')} || chr(10) || '- Required investment: ' || {_YEN.format('max(new_total - total)')} || chr(10) || chr(10) || '| Category | Target | Current | Status |' || chr(10) || '| :--- | :---: | :---: | :---: |' || chr(10) || "
-       f"string_agg('| ' || category || ' | ' || {_PCT.format('ratio')} || ' | ' || {_PCT.format('coalesce(current / nullif(total, 0), 0)')} || ' | ' || status || ' |', chr(10) ORDER BY category) || chr(10) || chr(10) || coalesce(string_agg('- ' || category || ': ' || {_YEN.format('buy')}, chr(10) ORDER BY category) FILTER (WHERE buy > 0), 'No purchases.') AS markdown FROM buys GROUP BY account_id", "holdings", "allocation_target")
+@query(f"+{DRIFT}, {_MD} SELECT b.account_id, '# Portfolio Rebalance Report' || chr(10) || chr(10) || '- Total: ' || {_YEN.format('max(total)')} || chr(10) || '- Required investment: ' || {_YEN.format('max(new_total - total)')} || chr(10) || '- Currency: JPY' || chr(10) || chr(10) || '| Category | Target | Current | Status |' || chr(10) || '| :--- | :---: | :---: | :---: |' || chr(10) || "
+       f"string_agg('| ' || b.category || ' | ' || {_PCT.format('ratio')} || ' | ' || {_PCT.format('coalesce(current / nullif(total, 0), 0)')} || ' | ' || status || ' |', chr(10) ORDER BY b.category) || chr(10) || chr(10) || '| Asset | Category | Value | Share |' || chr(10) || '| :--- | :--- | :---: | :---: |' || chr(10) || max(h.assets) || chr(10) || chr(10) || "
+       f"coalesce(string_agg('### ' || b.category || ' (+' || {_YEN.format('buy')} || ')' || coalesce(chr(10) || parts.lines, ''), chr(10) ORDER BY b.category) FILTER (WHERE buy > 0), 'No purchases.') AS markdown "
+       "FROM buys b JOIN h ON h.account_id = b.account_id LEFT JOIN parts ON parts.account_id = b.account_id AND parts.category = b.category GROUP BY b.account_id", "holdings", "allocation_target")
 def allocation_markdown(h, t):
-    return R.allocation_markdown(A.rebalance_plan(A.category_drift(h, t)))
+    plan = A.rebalance_plan(A.category_drift(h, t))
+    return R.allocation_markdown(plan, h, A.split_buys(plan, h))

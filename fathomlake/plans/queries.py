@@ -145,8 +145,7 @@ def top_holdings(tx, px):
 
 @query("SELECT DISTINCT coalesce(currency, 'USD') AS currency FROM transactions UNION SELECT 'USD' UNION SELECT 'JPY'", "transactions")
 def currencies_needed(tx):
-    have = tx.select(F.coalesce("currency", F.lit("USD")).alias("currency"))
-    return have.union(have.sparkSession.createDataFrame([("USD",), ("JPY",)], "currency string")).distinct()
+    return P.currencies_needed(tx, "JPY")
 
 
 VALUES = f"""{POS}, days AS (SELECT date FROM benchmark_daily ORDER BY date DESC LIMIT 252), dv AS (SELECT account_id, date, sum(quantity * close) AS value FROM (SELECT account_id, ticker, sum(quantity) AS quantity FROM pos GROUP BY ALL)
@@ -176,12 +175,18 @@ def max_drawdown(tx, px, daily):
     return rounded(S.max_drawdown(_values(tx, px, daily), ["account_id"], "date", "value"), "max_drawdown")
 
 
-@query("+p AS (SELECT s.ticker, s.close AS a, b.close AS b FROM stock_prices s JOIN benchmark_daily b USING (date)) "
-       f"SELECT ticker, {s4('CASE WHEN var_pop(b) > 0 THEN covar_pop(a, b) / var_pop(b) ELSE 1 END')} AS beta, {s4('CASE WHEN var_pop(a) > 0 AND var_pop(b) > 0 THEN covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b)) ELSE 0 END')} AS corr FROM p GROUP BY ticker",
+@query("+days AS (SELECT date, close FROM benchmark_daily ORDER BY date DESC LIMIT 252), b AS (SELECT * FROM (SELECT date, close / nullif(lag(close) OVER (ORDER BY date), 0) - 1 AS ret FROM days) WHERE ret IS NOT NULL), "
+       "o AS (SELECT * FROM (SELECT ticker, date, s.close / nullif(lag(s.close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS ret FROM stock_prices s JOIN days USING (date)) WHERE ret IS NOT NULL), "
+       "n AS (SELECT ticker, count(*) AS n FROM o GROUP BY ticker), p AS (SELECT ticker, o.ret AS a, b.ret AS b FROM o JOIN b USING (date)), "
+       "g AS (SELECT ticker, count(*) AS k, CASE WHEN var_pop(b) > 0 THEN covar_pop(a, b) / var_pop(b) ELSE 1 END AS beta, CASE WHEN var_pop(a) > 0 AND var_pop(b) > 0 THEN covar_pop(a, b) / sqrt(var_pop(a) * var_pop(b)) ELSE 0 END AS corr FROM p GROUP BY ticker) "
+       f"SELECT n.ticker, CASE WHEN n = m AND k = m THEN {s4('beta')} END AS beta, CASE WHEN n = m AND k = m THEN {s4('corr')} END AS corr FROM n LEFT JOIN g ON g.ticker = n.ticker CROSS JOIN (SELECT count(*) AS m FROM b)",
        "stock_prices", "benchmark_daily")
 def beta_corr(px, daily):
-    pairs = px.select("ticker", "date", F.col("close").alias("a")).join(daily.select("date", F.col("close").alias("b")), "date")
-    return rounded(S.beta_corr(pairs, ["ticker"], "a", "b"), "beta", "corr")
+    """Of each ticker's returns with the benchmark's over its last 252 days; null where their numbers differ."""
+    days = daily.select("date", "close").orderBy(F.desc("date")).limit(252)
+    bench = S.daily_returns(days.withColumn("all", F.lit(0)), ["all"], "date", "close").select("date", "ret")
+    own = S.daily_returns(px.select("ticker", "date", "close").join(days.select("date"), "date"), ["ticker"], "date", "close").select("ticker", "date", "ret")
+    return rounded(S.aligned_beta_corr(own, bench, ["ticker"], "date"), "beta", "corr")
 
 
 # ---- series --------------------------------------------------------------------------------------------------------

@@ -86,6 +86,28 @@ def lake_audit(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def lake_status(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
+    """``table_name, n, symbols``: rows and distinct values of the named column of each table."""
+    each = [df.agg(F.count("*").alias("n"), F.count_distinct(c).alias("symbols")).select(F.lit(name).alias("table_name"), "n", "symbols") for name, (df, c) in tables.items()]
+    out = each[0]
+    for e in each[1:]:
+        out = out.unionByName(e)
+    return out
+
+
+def newest_rows(tables: dict[str, tuple[DataFrame, str, str]], n: int = 5) -> DataFrame:
+    """``table_name, rank, id, at``: the ``n`` newest rows of each table, given with its key and its time, as samples."""
+    tops = []
+    for name, (df, key, at) in tables.items():
+        top = df.select(F.col(key).cast("string").alias("id"), F.col(at).cast("string").alias("at"), F.col(at).alias("_at")).orderBy(F.desc("_at"), "id").limit(n)
+        ranked = top.agg(F.array_sort(F.collect_list(F.struct("_at", "id", "at")), lambda a, b: F.when(a["_at"] > b["_at"], -1).when(a["_at"] < b["_at"], 1).when(a["id"] < b["id"], -1).otherwise(1)).alias("x"))
+        tops.append(ranked.select(F.lit(name).alias("table_name"), F.posexplode("x").alias("k", "y")).select("table_name", (F.col("k") + 1).alias("rank"), "y.id", "y.at"))
+    out = tops[0]
+    for t in tops[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def _text(raw: bytes) -> str:
     """By the mark at the beginning where there is one, else UTF-8, else the Japanese code page."""
     if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):

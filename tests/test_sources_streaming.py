@@ -94,4 +94,4 @@ def test_sections(spark):
     got = M.extract_sections(spark.createDataFrame([(1, html), (2, None)], "id int, html string"), "html", "10-K")
     assert {r.id: r.sections for r in got.collect()} == {1: {"business": "## Item 1. Business\n\nWe sell.", "risk_factors": "## ITEM 1A. Risk Factors\n\nRisk.", "signatures": "## Signatures\n\nS."}, 2: {}}
     rows = spark.createDataFrame([("BusinessRisksTextBlock", "<p>A text that is long enough.</p>"), ("X", "short")], "tag string, text string")
-    assert [(r.section_name, r.content_md) for r in M.narrative_blocks(rows, "tag", "text").collect()] == [("business_risks", "A text that is long enough.")]
+    assert [(r.section_name, r.content_md) for r in M.narrative_blocks(rows, "tag", "text").collect()] == [("business_risk", "A text that is long enough.")]
