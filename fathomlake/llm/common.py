@@ -5,19 +5,38 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
+from functools import wraps
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Folders made here because the session names none (tests); by application.
 _own: dict[str, str] = {}
+_path: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: What has been written since each scope that is still open began: folders and tables; outside of all, results.
+_scopes = threading.local()
+_results: dict[str, list[str]] = {}
+
+
+def one_machine(master: str) -> bool:
+    """Whether driver and executors share a disk without a named folder."""
+    return master.split("[")[0] == "local"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset.
+
+    Our own is on the driver's disk, so a cluster has to name one.
+    """
     if named := spark.conf.get("spark.checkpoint.dir", ""):
         return named
+    if not one_machine(spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="fathomlake-")
@@ -25,25 +44,114 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
-def short_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Let Arrow batches hold no more than ``rows`` texts: by default they hold 10,000, too much memory for long texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def _open() -> list[list[str]]:
+    if not hasattr(_scopes, "held"):
+        _scopes.held = []
+    return _scopes.held
+
+
+def _note(spark: SparkSession, name: str) -> None:
+    (_open()[-1] if _open() else _results.setdefault(spark.sparkContext.applicationId, [])).append(name)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    if "/" not in name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, rows: int = 1000):
+    """What is written inside goes at the end. Inside, Arrow batches hold no more than ``rows`` texts: by default they hold
+    10,000, too much memory for long texts. The session's setting is put back."""
+    before = spark.conf.get(BATCH_ROWS)
+    _open().append([])
+    spark.conf.set(BATCH_ROWS, min(rows, int(before)) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+        discard(spark, _open().pop())
+
+
+def written(operator):
+    """The operator's result as a table written inside a scratch of its own, which alone stays; the next scope outside
+    takes it over, or else ``release``."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **more) -> DataFrame:
+        spark = docs.sparkSession
+        with scratch(spark):
+            out = cut(operator(docs, *args, **more), operator.__name__)
+            _open()[-1].remove(_path[out])
+        _note(spark, _path[out])
+        return out
+
+    return run
+
+
+@contextmanager
+def noted(spark: SparkSession):
+    """The list of what is written inside and stays."""
+    _open().append(names := [])
+    try:
+        yield names
+    finally:
+        _open().pop()
+
+
+def discard(spark: SparkSession, names: list[str]) -> None:
+    while names:
+        _delete(spark, names.pop())
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the results that operators have written in this application; call it when they have been used."""
+    discard(spark, _results.pop(spark.sparkContext.applicationId, []))
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of it: lineage ends here, and a lost executor costs a re-read."""
-    short_batches(df.sparkSession)
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _note(spark, path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path[out] = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete cuts that nothing reads any more, before their scope ends."""
+    for frame in frames:
+        path = _path.pop(frame)
+        for held in [*_open(), *_results.values()]:
+            if path in held:
+                held.remove(path)
+        _delete(frame.sparkSession, path)
+
+
+def bucketed(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` as a table in buckets of ``column``, which joins and groups by that column read in place."""
+    spark = rows.sparkSession
+    name = f"fathomlake_{uuid.uuid4().hex}"
+    n = partitions(spark)
+    _note(spark, name)
+    rows.repartition(n, column).write.format("parquet").option("compression", "zstd").bucketBy(n, column).saveAsTable(name)
+    return spark.table(name)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df``, a table of one number a row, to be sent to all tasks if it has been counted to have ``rows`` at most (4 MB)."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -63,6 +171,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("v").alias("label"), F.col("label").alias("up"))
         after = cut(step.join(up, "label", "left").select("v", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
-        labels = after.select("v", "label")
+        drop(labels)
+        labels = after
         if after.where("label <> old").limit(1).count() == 0:
-            return labels
+            drop(both)
+            return labels.select("v", "label")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import connected_components, cut, documents, partitions
+from .common import connected_components, cut, documents, partitions, written
 
 SIMILARITY = (4, 5)
 BLOCK = 256
@@ -135,6 +135,7 @@ def _verified(table: pa.Table):
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["rep", "near", "links"])
 
 
+@written
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY[0] / SIMILARITY[1], recall: float = 0.9995, rows: int = 5) -> DataFrame:
     """``doc_id, copy_of, class_id, n_links`` for each distinct doc_id of ``docs(doc_id, text)``.
 

@@ -19,7 +19,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents, partitions
+from .common import cut, documents, drop, partitions, written
 from .tokens import byte_chars
 
 CAPACITY = 2048
@@ -142,12 +142,12 @@ def _round(items: DataFrame, capacity: int, enough: int, most: int) -> DataFrame
     return items.select("fill", "members", "lengths").mapInArrow(run, _BINS)
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, enough: float = 0.98, fan_in: int = 4, most: int = 200_000) -> DataFrame:
+def pack(items: DataFrame, capacity: int = CAPACITY, enough: float = 0.98, fan_in: int = 4, most: int = 200_000, least_gain: float = 0.005) -> DataFrame:
     """Pack rows with a unique ``pid`` and a ``length`` up to ``capacity``: ``pid, sequence_id, offset``.
 
     ``enough``: bins this full are emitted; ``fan_in``: partitions that meet in the next round; ``most``: items that a
     task holds at once. No rows give no rows. Rounds end when one partition has seen all underfull bins, or when a round
-    made fewer than a twentieth fewer bins of them.
+    took in less than ``least_gain`` of them, whatever their number.
     """
     spark = items.sparkSession
     n = partitions(spark)
@@ -162,7 +162,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, enough: float = 0.98, fan_i
         done.append(bins.where("full"))
         rest = bins.where("not full")
         before, left = left, rest.count()
-        if n > 1 and bins.count() > 0.95 * before and left > most // 2:
+        if n > 1 and bins.count() > (1 - least_gain) * before:
             break
     for x in done:
         rest = rest.unionByName(x)
@@ -170,6 +170,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, enough: float = 0.98, fan_i
     return rest.withColumn("sequence_id", F.monotonically_increasing_id()).select("sequence_id", F.explode(at).alias("x")).select("x.pid", "sequence_id", "x.offset")
 
 
+@written
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Tokenise and pack ``docs(doc_id, text)``: a row per piece with its sequence and the place in it.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, documents
+from .common import cut, documents, scratch, written
 
 SHARDS = 40
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
@@ -85,6 +85,7 @@ def run_of(cuts: list[tuple[int, int]], low: int = 0) -> Column:
     return F.when(below, run_of(cuts[:mid], low)).otherwise(run_of(cuts[mid + 1 :], low + mid + 1))
 
 
+@written
 def shard_by_bytes(docs: DataFrame, n: int = SHARDS, tolerance: float = 0.002, rows_a_task: int = 2_000_000) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row of ``docs(doc_id, text)``.
 
@@ -108,10 +109,16 @@ def shard_by_bytes(docs: DataFrame, n: int = SHARDS, tolerance: float = 0.002, r
 
 def write_shards(docs: DataFrame, path: str, n: int = SHARDS) -> None:
     """Write the rows of ``docs`` as ``n`` folders ``shard=i`` of near-equal bytes, each in key order."""
+    with scratch(docs.sparkSession):
+        _write(docs, path, n)
+
+
+def _write(docs: DataFrame, path: str, n: int) -> None:
     held = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("d"))
     keys = cut(held.select("h", "d", (F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(16)).cast("long").alias("size")), "keys")
     held = held.withColumn("shard", run_of(splitters(keys, n)))
-    held.repartition(n, "shard").sortWithinPartitions("shard", "h", "d").drop("h", "d").write.partitionBy("shard").parquet(path)
+    # By the number itself, so that each task has one shard.
+    held.repartitionById(n, "shard").sortWithinPartitions("shard", "h", "d").drop("h", "d").write.partitionBy("shard").parquet(path)
 
 
 def op4_sharding(spark, sf_dir):

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, written
 
 #: Letters whose lower case the library knows (Unicode 16) and this Python does not.
 NEW_LOWER = (("\ua7cb", "\u0264"), ("\ua7dc", "\u019b"))
@@ -113,6 +113,7 @@ class Counter:
         return [sum(map(get, ps)) + special for ps, special in split]
 
 
+@written
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of each whole text; a null text is empty, a null doc_id stays null."""
 
