@@ -61,8 +61,10 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[at[0] : at[-1]] if len(at) else data[:0], at - at[0]
 
 
-def words(texts: pa.Array) -> Words:
-    data, at = utf8(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+def words(texts: pa.Array, fold: bool = True) -> Words:
+    """``fold``: in lower case."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    data, at = utf8(pc.utf8_lower(texts) if fold else texts)
     none = np.zeros(0, np.int64)
     if not len(data):
         return Words(data, none, none, none.astype(np.uint64), np.zeros(len(at), np.int64))
