@@ -1,9 +1,11 @@
-"""Repeated lines and sentences: unit hashing.
-
-A unit is a sentence with the marks or line ends that close it, so that a line is cut where its sentences end and a
-passage is found inside other lines. Units of ``least`` words or more are normalised (lower case, single spaces) and
-their 128-bit digests grouped over all documents; the occurrence of the smallest (doc_id, place) stays and the others
-go. A shorter unit goes with its neighbours: if the nearest longer units on both sides go.
+"""Repeated paragraphs: unit hashing.
+
+A paragraph is ``paragraph`` words or more in a row that all stand elsewhere earlier. Where it begins and ends no line end
+tells, since repeated passages also lie inside other lines; so lines are cut into units where their sentences end. Units of
+``least`` words or more are normalised (lower case, single spaces) and their 128-bit digests grouped over all documents; the
+occurrence of the smallest (doc_id, place) stays and the others are marked. A shorter unit is marked with its neighbours: if
+the nearest longer units on both sides are. Marked units in a row go if they make a paragraph; a repeated sentence or short
+line on its own stays, as it does not make a text a copy.
 """
 
 from __future__ import annotations
@@ -16,9 +18,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents
+from .common import cut, documents, written
 
-LEAST = 6
+LEAST, PARAGRAPH = 6, 20
 UNIT = r"[^.!?\n]+[.!?\n]*|[.!?\n]+"
 _unit = regex.compile(UNIT)
 
@@ -79,6 +81,15 @@ def _between(long: np.ndarray, out: np.ndarray) -> None:
         out[i] = 0 < k < len(at) and out[at[k - 1]] and out[at[k]]
 
 
+def _paragraphs(words: np.ndarray, out: np.ndarray, paragraph: int) -> None:
+    """Of runs of units that go those with fewer words stay."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], out, [False])).astype("i1")))
+    total = np.concatenate(([0], np.cumsum(words)))
+    for a, b in zip(edges[::2], edges[1::2], strict=True):
+        if total[b] - total[a] < paragraph:
+            out[a:b] = False
+
+
 def _touching(again: np.ndarray, out: np.ndarray) -> None:
     """Units that stood earlier (``again``) go if they touch one that goes."""
     n = len(out)
@@ -87,7 +98,7 @@ def _touching(again: np.ndarray, out: np.ndarray) -> None:
             out[i] |= again[i] and out[i - order.step]
 
 
-def _kept(least: int, lines: bool):
+def _kept(least: int, lines: bool, paragraph: int):
     def run(batches):
         for batch in batches:
             rows = []
@@ -96,7 +107,8 @@ def _kept(least: int, lines: bool):
                 spans = _units(text, lines)
                 out = np.zeros(len(spans), bool)
                 if gone:
-                    long = np.array([len(text[a:b].split()) >= least for a, b, _ in spans])
+                    words = np.array([len(text[a:b].split()) for a, b, _ in spans])
+                    long = words >= least
                     if lines:
                         again = np.zeros(len(spans), bool)
                         again[[p // 2 for p in gone if p % 2 == 0]] = True
@@ -105,6 +117,7 @@ def _kept(least: int, lines: bool):
                     else:
                         out[gone] = True
                         _between(long, out)
+                        _paragraphs(words, out, paragraph)
                 removed = [spans[i] for i in np.flatnonzero(out)]
                 kept = "".join(text[a:b] for (a, b, _), x in zip(spans, out, strict=True) if not x)
                 rows.append((len(text), len(spans), len(removed), sum(b - a for a, b, _ in removed), ",".join(f"{a}-{b}" for a, b, _ in removed), kept, hashlib.md5(kept.encode(), usedforsecurity=False).hexdigest()))
@@ -115,13 +128,14 @@ def _kept(least: int, lines: bool):
     return run
 
 
-def remove_repeated_units(docs: DataFrame, least: int = LEAST, lines: bool = False) -> DataFrame:
+@written
+def remove_repeated_units(docs: DataFrame, least: int = LEAST, lines: bool = False, paragraph: int = PARAGRAPH) -> DataFrame:
     """``doc_id, n_chars, n_units, n_removed, removed_chars, spans, kept, kept_md5`` for each row of ``docs(doc_id, text)``.
 
     ``spans``: the removed units, ``begin-end`` in characters of the original text, joined by commas; ``kept``: the
     text left. A null text is empty; a null doc_id has no rank, so its row stays whole and counts for no other; rows that
     repeat doc_id and text are one document. No rows give none; other columns aren't read. ``lines``: whole lines are units
-    too; op9 goes without, as its SQL does.
+    too, of any word count, and ``paragraph`` does not count.
     """
     held = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     found = held.where("doc_id is not null").mapInArrow(_digests(least, lines), "doc_id long, th long, place int, d1 long, d2 long")
@@ -130,7 +144,7 @@ def remove_repeated_units(docs: DataFrame, least: int = LEAST, lines: bool = Fal
     gone = found.join(first, ["d1", "d2"]).where(F.struct("doc_id", "th", "place") != F.col("first"))
     gone = gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("place")).alias("gone"))
     every = held.join(gone, ["doc_id", "th"], "left").select("doc_id", "text", "gone")
-    return every.mapInArrow(_kept(least, lines), "doc_id long, n_chars long, n_units long, n_removed long, removed_chars long, spans string, kept string, kept_md5 string")
+    return every.mapInArrow(_kept(least, lines, paragraph), "doc_id long, n_chars long, n_units long, n_removed long, removed_chars long, spans string, kept string, kept_md5 string")
 
 
 def op9_substring_dedup(spark, sf_dir):
@@ -142,13 +156,15 @@ ORACLE = {
 WITH a AS (SELECT doc_id, text, regexp_extract_all(text, '{UNIT}') AS us FROM documents),
 u AS (SELECT doc_id, unnest(us) AS unit, generate_subscripts(us, 1) AS place FROM a),
 n AS (SELECT *, lower(trim(regexp_replace(unit, '[ \t\r\n\v\f]+', ' ', 'g'), ' ')) AS form FROM u),
-w AS (SELECT *, CASE WHEN form = '' THEN 0 ELSE len(string_split(form, ' ')) END >= {LEAST} AS long,
-      sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY place) - length(unit) AS begin FROM n),
+c AS (SELECT *, CASE WHEN form = '' THEN 0 ELSE len(string_split(form, ' ')) END AS words FROM n),
+w AS (SELECT *, words >= {LEAST} AS long, sum(length(unit)) OVER (PARTITION BY doc_id ORDER BY place) - length(unit) AS begin FROM c),
 r AS (SELECT *, CASE WHEN long THEN row_number() OVER (PARTITION BY form, long ORDER BY doc_id, place) > 1 END AS dup FROM w),
-g AS (SELECT *, CASE WHEN long THEN dup ELSE
+m AS (SELECT *, CASE WHEN long THEN dup ELSE
       coalesce(last_value(dup IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)
       AND coalesce(first_value(dup IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false)
-      END AS gone FROM r)
+      END AS marked FROM r),
+q AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id, marked ORDER BY place) AS run FROM m),
+g AS (SELECT *, marked AND sum(words) OVER (PARTITION BY doc_id, marked, run) >= {PARAGRAPH} AS gone FROM q)
 SELECT d.doc_id, length(coalesce(d.text, '')) AS n_chars, count(g.place) AS n_units,
        CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_removed,
        CAST(coalesce(sum(length(unit)) FILTER (WHERE gone), 0) AS BIGINT) AS removed_chars,
