@@ -1,11 +1,12 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-A rule rejects a text whose signal is over the rule's cutoff. For each stratum (language) and rule the cutoffs are tried
-from the loosest to the strictest on labelled documents: with ``n`` good ones of which ``k`` would be rejected, a cutoff
-is accepted if a binomial variable with false-rejection rate ``ALPHA`` would be ``k`` or less with a probability of at
-most ``DELTA`` over the number of strata and rules (Bonferroni); the first that fails ends the sequence, which needs no
-more correction. So with probability 1 - ``DELTA`` no rule rejects more than ``ALPHA`` of the good texts of any stratum.
-A stratum without enough labels gets no cutoff, and its texts are kept unless a base rule fails.
+A rule rejects a text whose signal is over the rule's cutoff; a text is rejected if any rule rejects it. The cutoffs are
+tightened along a path that is fixed beforehand: rule after rule one step, from the loosest to the strictest. For each stratum
+(language) the steps are tried in this order on labelled documents: with ``n`` good ones of which ``k`` would be rejected by any
+rule at its cutoff so far, a step is accepted if a binomial variable with false-rejection rate ``ALPHA`` would be ``k`` or less
+with a probability of at most ``DELTA`` over the number of strata (Bonferroni); the first that fails ends the path, which needs
+no more correction. So with probability 1 - ``DELTA`` the rules together reject no more than ``ALPHA`` of the good texts of any
+stratum. A stratum without enough labels gets no cutoff, and its texts are kept unless a base rule fails.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, documents
+from .common import cut, documents, written
 
 ALPHA, DELTA = 0.01, 0.05
 #: Cutoffs of each signal, the loosest first.
@@ -92,35 +93,59 @@ def tail(n: str, k: str, rate: float) -> Column:
                   f"(s, j) -> named_struct('p', CAST({step} AS DOUBLE), 't', CAST({add} AS DOUBLE)), s -> s.t)) END")
 
 
-def cutoffs(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """``lang`` (null: '') and the accepted cutoff of each rule (null: none), from the good of all labelled documents.
+#: The path: the rule and the cutoff that each step tightens.
+STEPS = [(r, cs[i]) for i in range(max(map(len, GRID.values()))) for r, cs in GRID.items() if i < len(cs)]
+
+
+def first_step() -> Column:
+    """The first step of the path that rejects a text, from its signals; one past the last if none does."""
+    by_rule = []
+    for r in GRID:
+        at = F.lit(len(STEPS))
+        for k in reversed([k for k, (name, _) in enumerate(STEPS) if name == r]):
+            at = F.when(F.col(r) > STEPS[k][1], F.lit(k)).otherwise(at)
+        by_rule.append(at)
+    return F.least(*by_rule)
+
+
+def accepted_steps(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """``lang`` (null: '') and ``step``, the last accepted one, of the strata that have any, from the good of all labelled
+    documents.
 
     Documents that fail a base rule are no evidence: no cutoff decides on them. A document with labels that differ is good
     only if all say so.
     """
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
-    held = scored.where("not base_failed").join(good, "doc_id", "left_semi").withColumn("lang", F.coalesce("lang", F.lit("")))
-    counts = held.groupBy("lang").agg(F.count("*").alias("n"), *[F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r, cs in GRID.items() for i, c in enumerate(cs)])
-    trials = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r, cs in GRID.items() for i, c in enumerate(cs)])
-    tests = max(1, held.select("lang").distinct().count()) * len(GRID)
-    tried = counts.select("lang", "n", F.explode(trials).alias("x")).select("lang", "n", "x.*")
-    passed = tried.withColumn("ok", tail("n", "k", alpha) <= delta / tests)
-    until = F.min("ok").over(W.partitionBy("lang", "rule").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
-    chosen = passed.withColumn("ok", until).where("ok")
-    return chosen.groupBy("lang").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in GRID])
+    held = scored.where("not base_failed").join(good, "doc_id", "left_semi").select(F.coalesce("lang", F.lit("")).alias("lang"), first_step().alias("first"))
+    # A row for each stratum and step at most.
+    counts = held.groupBy("lang", "first").agg(F.count("*").alias("c")).groupBy("lang").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.struct("first", "c"))).alias("at"))
+    strata = counts.agg(F.count("*").alias("strata"))
+    tried = counts.crossJoin(F.broadcast(strata)).select("lang", "n", "strata", "at", F.explode(F.sequence(F.lit(0), F.lit(len(STEPS) - 1))).alias("step"))
+    rejected = F.aggregate(F.sequence(F.lit(0), F.col("step")), F.lit(0).cast("long"), lambda t, i: t + F.coalesce(F.try_element_at("at", i), F.lit(0)))
+    passed = tried.withColumn("k", rejected).withColumn("ok", tail("n", "k", alpha) <= F.lit(delta) / F.col("strata"))
+    until = F.min("ok").over(W.partitionBy("lang").orderBy("step").rowsBetween(W.unboundedPreceding, 0))
+    return passed.withColumn("ok", until).where("ok").groupBy("lang").agg(F.max("step").alias("step"))
+
 
+def cutoffs(scored: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """``lang`` (null: '') and the accepted cutoff of each rule (null: none)."""
+    limits = [F.lit(None).cast("double")] * len(GRID)
+    for k, (r, c) in enumerate(STEPS):
+        j = list(GRID).index(r)
+        limits[j] = F.when(F.col("step") >= k, F.lit(c)).otherwise(limits[j])
+    return accepted_steps(scored, labels, alpha, delta).select("lang", *[x.alias(f"max_{r}") for r, x in zip(GRID, limits, strict=True)])
 
+
+@written
 def apply_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Base counts, ``base_failed`` and ``kept`` of every row of ``docs(doc_id, text, lang)``; ``labels(doc_id, quality)``.
 
     A null doc_id stays null, a null language is a stratum of its own, repeated rows are judged alike, no rows give none.
     """
     scored = cut(signals(docs), "signals")
-    limits = F.broadcast(cutoffs(scored, labels).withColumnRenamed("lang", "stratum"))
-    over = F.lit(False)
-    for r in GRID:
-        over = over | F.coalesce(F.col(r) > F.col(f"max_{r}"), F.lit(False))
+    limits = F.broadcast(accepted_steps(scored, labels).withColumnRenamed("lang", "stratum"))
     judged = scored.join(limits, F.coalesce("lang", F.lit("")) == F.col("stratum"), "left")
+    over = F.coalesce(first_step() <= F.col("step"), F.lit(False))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~over).alias("kept"), *GRID)
 
 
