@@ -1,13 +1,14 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
 Test items are short and documents long, so plain MinHash similarity between them is near 0 and containment is what
-counts. Items are partitioned by the size of their shingle set (powers of two). An item's sketch is its ``k`` smallest
-shingle hashes, and ``k`` and the hits asked for follow from its partition, so that an item of which 0.8 is contained is
-missed with a probability of 1e-4 at most. Documents of any length are read once: each shingle hash is probed against
-the sketches, and a (document, item) pair with enough hits is verified on the words themselves.
-
-Items are the query set and go to the tasks in blocks of a bounded size; a larger benchmark takes more blocks, each of
-which reads the documents once.
+counts. Items are partitioned by the size of their shingle set, in powers of two. An item's sketch is its ``k`` smallest
+shingle hashes, where ``k`` belongs to its partition and the hits asked for follow from it, so that an item of which 0.8 is
+contained is missed with a probability of 1e-4 at most.
+
+1. The sketches are a table of hashes. A sieve of a fixed size, bits of those hashes, goes to the tasks, whatever their number.
+2. Documents are read once: the shingle hashes that pass the sieve are joined with the sketches by hash, and hits counted for
+   each text and item. Texts are named by their hash, so copies are one.
+3. The texts with enough hits are read again and joined with their items, and each pair is verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -20,15 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import documents
+from .common import cut, documents, drop, small, written
 
 THRESHOLD = (4, 5)
 MISS = 1e-4
+#: Hashes in the sketches of the partitions of fewer than 64 shingles, and of the others.
+SHORT_SKETCH, LONG_SKETCH = 16, 32
+#: Bits of the sieve (8 MB), and of one of its chunks.
+SIEVE, CHUNK = 26, 15
 
 
 def sketch_rule(n: int) -> tuple[int, int]:
     """Sketch size and least hits for an item of ``n`` shingles: by its size partition."""
-    k = min(n, 16 if n < 64 else 32)
+    partition = n.bit_length() - 1
+    k = min(n, SHORT_SKETCH if partition < 6 else LONG_SKETCH)
     p = THRESHOLD[0] / THRESHOLD[1]
     need, tail = 0, 0.0
     while need < k and (tail := tail + comb(k, need) * p**need * (1 - p) ** (k - need)) <= MISS:
@@ -36,105 +42,100 @@ def sketch_rule(n: int) -> tuple[int, int]:
     return k, max(1, need)
 
 
-def _grams(text: str) -> set[tuple[str, ...]]:
-    w = (text or "").lower().encode()
-    w = [x.decode() for x in w.split()]
+def _grams(text: str) -> set[tuple[bytes, ...]]:
+    w = text.lower().encode().split()
     return {tuple(w[i : i + S.N]) for i in range(len(w) - S.N + 1)}
 
 
-class Block:
-    """The sketches of some items, as sorted arrays and a table of the top bits of their hashes."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        keys, owners = [], []
-        self.items, self.grams, self.need = [], [], []
-        for item, text in items:
-            grams = _grams(text)
-            if not grams:
+def _sketched(batches):
+    """Rows (item, text) to (item, partition, need, keys)."""
+    for batch in batches:
+        out: list[list] = [[], [], [], []]
+        for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            if not (n := len(_grams(text))):
                 continue
-            h, _, _ = S.shingles(S.words(pa.array([text])))
-            h = np.unique(h)
-            k, need = sketch_rule(len(h))
-            keys.append(h[:k])
-            owners.append(np.full(k, len(self.items)))
-            self.items.append(item)
-            self.grams.append(grams)
-            self.need.append(need)
-        keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        owners = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.owners = keys[order], owners[order]
-        self.need = np.array(self.need)
-        self.bits = np.zeros(1 << 20, bool)
-        self.bits[self.keys >> np.uint64(44)] = True
-
-    def matches(self, part: pa.RecordBatch):
-        w = S.words(part.column("text"))
-        h, doc, at = S.shingles(w)
-        some = np.flatnonzero(self.bits[h >> np.uint64(44)])
-        lo, hi = np.searchsorted(self.keys, h[some], "left"), np.searchsorted(self.keys, h[some], "right")
-        times = hi - lo
-        some, lo, times = some[times > 0], lo[times > 0], times[times > 0]
-        if not len(some):
-            return
-        slot = np.repeat(lo, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        hits = np.unique(np.stack((np.repeat(doc[some], times), self.owners[slot], slot)), axis=1)
-        pairs, n = np.unique(hits[:2], axis=1, return_counts=True)
-        doc_begin = np.searchsorted(doc, np.arange(part.num_rows + 1))
-        words_of: tuple[int, list[str]] = (-1, [])
-        have: set[tuple[str, ...]] = set()
-        for d, i in pairs[:, n >= self.need[pairs[1]]].T.tolist():
-            if words_of[0] != d:
-                a, b = doc_begin[d], doc_begin[d + 1]
-                first = w.first[d]
-                text = [w.data[w.start[x] : w.end[x]].tobytes().decode() for x in range(first, w.first[d + 1])]
-                have = {tuple(text[x - first : x - first + S.N]) for x in at[a:b].tolist()}
-                words_of = (d, text)
-            shared = len(self.grams[i] & have)
-            if THRESHOLD[1] * shared >= THRESHOLD[0] * len(self.grams[i]):
-                yield d, self.items[i], len(self.grams[i]), shared
+            h = np.unique(S.shingles(S.words(pa.array([text])))[0])
+            k, need = sketch_rule(n)
+            for column, x in zip(out, (item, n.bit_length() - 1, need, h[:k].view(np.int64)), strict=True):
+                column.append(x)
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["item", "partition", "need", "keys"])
 
 
-_OUT = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
+def _bits(table: pa.Table) -> pa.Table:
+    """The cells of one chunk of the sieve as bits."""
+    bits = np.zeros(1 << CHUNK, bool)
+    bits[table["cell"].to_numpy() & (1 << CHUNK) - 1] = True
+    return pa.table({"chunk": table["chunk"].slice(0, 1), "bits": [np.packbits(bits).tobytes()]})
 
 
-def contained_items(docs: DataFrame, items: DataFrame, block_chars: int = 4_000_000) -> DataFrame:
-    """A row for each document and test item of which 0.8 or more of the five-word shingles are in the document.
+def _sieve(keys: DataFrame) -> np.ndarray:
+    """Bits of the hashes ``key``: at most 8 MB come to the driver, whatever their number."""
+    cell = F.shiftrightunsigned("key", 64 - SIEVE).cast("int")
+    cells = keys.select(cell.alias("cell")).distinct().withColumn("chunk", F.shiftright("cell", CHUNK))
+    out = np.zeros((1 << SIEVE - CHUNK, 1 << CHUNK - 3), np.uint8)
+    for chunk, bits in cells.groupBy("chunk").applyInArrow(_bits, "chunk int, bits binary").collect():
+        out[chunk] = np.frombuffer(bits, np.uint8)
+    return out.ravel()
 
-    ``docs(doc_id, text)``, ``items(item_id, text)``; columns ``doc_id, item_id, n_item_shingles, n_shared,
-    containment``. Null and empty texts, and items or documents under five words, match nothing; a null id stays null;
-    repeated documents each have their rows, repeated items too. Other columns aren't read. A block holds items of
-    ``block_chars`` characters at most, or a single longer one.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = spark.createDataFrame([], _OUT)
-    held: list[tuple[int, str]] = []
-    size = 0
-    for item, text in items.where("text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
-        if held and size + len(text) > block_chars:
-            out = out.unionByName(_search(texts, held))
-            held, size = [], 0
-        held.append((item, text))
-        size += len(text)
-    return out.unionByName(_search(texts, held)) if held else out
-
-
-def _search(texts: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
-    sent = texts.sparkSession.sparkContext.broadcast(items)
-    made: list[Block] = []
+
+def _probe(sieve):
+    """Rows (th, text) to the distinct shingle hashes (th, key) that pass the sieve."""
 
     def run(batches):
-        if not made:
-            made.append(Block(sent.value))
+        bits = sieve.value
         for batch in batches:
             for part in S.slices(batch, "text"):
-                found = list(made[0].matches(part)) if len(made[0].keys) else []
-                d, i, n, m = zip(*found, strict=True) if found else ((), (), (), ())
-                ids = part.column("doc_id").take(pa.array(d, pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array([y / x for x, y in zip(n, m, strict=True)], pa.float64())], ["doc_id", "item_id", "n_item_shingles", "n_shared", "containment"])
+                h, doc, _ = S.shingles(S.words(part.column("text")))
+                cell = (h >> np.uint64(64 - SIEVE)).astype(np.int64)
+                some = np.flatnonzero(bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
+                pairs = np.unique(np.stack((doc[some].astype(np.uint64), h[some])), axis=1)
+                yield pa.RecordBatch.from_arrays([part.column("th").take(pa.array(pairs[0].astype(np.int64))), pa.array(pairs[1].view(np.int64))], ["th", "key"])
+
+    return run
+
+
+def _verified(batches):
+    """Rows (th, doc_id, text, item_id, item_text) to those of which enough is contained; rows of one text come together."""
+    last: tuple[str | None, set] = (None, set())
+    for batch in batches:
+        out: list[list] = [[], [], [], [], []]
+        for doc, text, item, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "item_id", "item_text")), strict=True):
+            if text != last[0]:
+                last = (text, _grams(text))
+            grams = _grams(wanted)
+            shared = len(grams & last[1])
+            if THRESHOLD[1] * shared >= THRESHOLD[0] * len(grams):
+                for column, x in zip(out, (doc, item, len(grams), shared, shared / len(grams)), strict=True):
+                    column.append(x)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "item_id", "n_item_shingles", "n_shared", "containment"])
+
 
-    return texts.mapInArrow(run, _OUT)
+_OUT = "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double"
+
+
+@written
+def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """A row for each document and test item of which 0.8 or more of the five-word shingles are in the document.
+
+    ``docs(doc_id, text)``, ``items(item_id, text)``; columns ``doc_id, item_id, n_item_shingles, n_shared,
+    containment``. Null and empty texts, and items or documents under five words, match nothing; a null id stays null;
+    repeated documents each have their rows, repeated items too. Other columns aren't read. No rows on either side give none.
+    """
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("th", F.xxhash64("text"))
+    wanted = cut(items.where("text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).withColumn("item", F.monotonically_increasing_id()), "items")
+    sketches = wanted.select("item", "text").mapInArrow(_sketched, "item long, partition int, need int, keys array<long>")
+    sketches = cut(sketches.select("item", "partition", "need", F.explode("keys").alias("key")), "sketches")
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(sketches))
+    hits = texts.select("th", "text").mapInArrow(_probe(sieve), "th long, key long").distinct()
+    found = hits.join(sketches, "key").groupBy("th", "item").agg(F.count("*").alias("hits"), F.max("need").alias("need")).where("hits >= need")
+    found = cut(found.select("th", "item"), "candidates")
+    drop(sketches)
+    again = texts.join(small(found.select("th").distinct()), "th", "left_semi")
+    pairs = found.join(wanted.select("item", "item_id", F.col("text").alias("item_text")), "item")
+    full = again.join(pairs, "th").select("th", "doc_id", "text", "item_id", "item_text")
+    return full.sortWithinPartitions("th").mapInArrow(_verified, _OUT)
 
 
 def op6_benchmark_decontamination(spark, sf_dir):
@@ -160,5 +161,5 @@ WHERE 5 * m >= 4 * n""",
 def keep_uncontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` (all columns) that contain no item; rows without doc_id are judged by their text as well."""
     keyed = docs.select(F.xxhash64("text").alias("doc_id"), "text")
-    gone = contained_items(keyed, items).select(F.col("doc_id").alias("gone_text")).distinct()
-    return docs.join(gone, F.xxhash64(docs["text"]) == F.col("gone_text"), "left_anti")
+    gone = small(contained_items(keyed, items).select(F.col("doc_id").alias("gone_text")).distinct())
+    return docs.join(gone, F.xxhash64(docs["text"]) == gone["gone_text"], "left_anti")

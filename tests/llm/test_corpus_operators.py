@@ -162,7 +162,7 @@ def test_repeated_bytes(docs, none, texts):
 def test_decontamination(spark, docs, none, texts):
     words = texts[10][1].split()
     items = [(1, " ".join(words[100:130])), (2, " ".join([*words[300:320], "x", *words[321:330]])), (3, "never " * 3), (4, None), (5, "one two three four"), (6, " ".join(words[8000:8400])), (6, " ".join(words[8000:8400]))]
-    got = Counter(map(tuple, decontamination.contained_items(docs, spark.createDataFrame(items, "item_id long, text string"), block_chars=300).collect()))
+    got = Counter(map(tuple, decontamination.contained_items(docs, spark.createDataFrame(items, "item_id long, text string")).collect()))
     want = Counter()
     five = lambda t: {g for g in grams(t) if len(g) == 5}
     for i, t in texts:
