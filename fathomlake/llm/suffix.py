@@ -368,5 +368,8 @@ def remove_repeats(docs: DataFrame, fields: list[str], length: int = LENGTH, uni
 
 
 def op5_suffix_array_dedup(spark, sf_dir):
+    """Removal by strings of 400 bytes, and how many words of each document stand in passages of over 50 words that repeat: those
+    are often under 400 bytes, so removal leaves them."""
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long"), "text")
-    return remove_repeats(docs, ["n_bytes", "n_removed", "n_spans", "kept_sha256"]).select("doc.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    fields = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_words"]
+    return remove_repeats(docs, fields).select("doc.doc_id", *fields)
