@@ -148,7 +148,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """``df``, a table of one number a row, to be sent to all tasks if it has been counted to have ``rows`` at most (4 MB)."""
+    """``df``, a table of one or two numbers a row, to be sent to all tasks if it has been counted to have ``rows`` at most
+    (8 MB of numbers)."""
     return F.broadcast(df) if df.count() <= rows else df
 
 

@@ -29,7 +29,7 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, documents, scratch, written
+from .common import cut, documents, scratch, small, written
 
 LEXICONS = 5
 SHORT, LONG = 4, 9
@@ -230,7 +230,7 @@ def _train(docs: DataFrame, labels: DataFrame) -> Scorer:
     ids = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     ids = ids.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    labelled = cut(named.join(ids, "doc_id").select("text", "toxic"), "labelled")
+    labelled = cut(named.join(small(cut(ids, "ids")), "doc_id").select("text", "toxic"), "labelled")
     terms = mined(labelled)
     if not terms:
         share = labelled.agg(F.avg("toxic")).first()[0] or 0.0
