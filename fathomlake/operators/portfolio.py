@@ -30,13 +30,16 @@ def convert_currency(df: DataFrame, fx: DataFrame, value: str, target: str) -> D
 def asof_price(tx: DataFrame, px: DataFrame, tolerance_days: int = 5) -> DataFrame:
     """``px(date, price)`` of the trade date or the nearest day before it within the tolerance; 0 counts as missing.
 
-    Every price is offered to the days that can still see it and the nearest stays, once for each day; trades join their
-    day by equality, so the join is hashed or merged and never loops, and no row needs an id.
+    Trades join their day by equality, so the join is hashed or merged and never loops, and no row needs an id.
     """
+    return tx.join(_near(px, tolerance_days), F.to_date(tx["timestamp"]) == F.col("_day")).drop("_day")
+
+
+def _near(px: DataFrame, tolerance_days: int) -> DataFrame:
+    """``_day, asof_price``: every price is offered to the days that can still see it and the nearest stays, once for each day."""
     known = px.where("price > 0").select(F.col("date").alias("_d"), F.col("price").alias("_p"))
     offered = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(tolerance_days))).alias("_o")).select(F.date_add("_d", F.col("_o")).alias("_day"), "_o", "_p")
-    near = offered.groupBy("_day").agg(F.min_by("_p", F.struct("_o", "_p")).alias("asof_price"))
-    return tx.join(near, F.to_date(tx["timestamp"]) == F.col("_day")).drop("_day")
+    return offered.groupBy("_day").agg(F.min_by("_p", F.struct("_o", "_p")).alias("asof_price"))
 
 
 def shadow_benchmark(tx: DataFrame, px: DataFrame, fx: DataFrame, by: list[str]) -> DataFrame:
@@ -53,6 +56,28 @@ def alpha_metrics(df: DataFrame) -> DataFrame:
     return out.withColumn("alpha_pct", F.when((F.col("bmv") > 0) & (F.col("pcost") > 0), (F.col("pmv") / F.col("bmv") - 1) * 100).otherwise(F.col("p_ret") - F.col("b_ret"))).withColumn("alpha_value", F.col("pmv") - F.col("bmv"))
 
 
+def account_totals(tx: DataFrame, latest: DataFrame, px: DataFrame, fx: DataFrame, tolerance_days: int = 5) -> DataFrame:
+    """``account_id, pmv, pcost, bcost, units``: USD value and cost of what is held, and what the buys would have cost and
+    hold of the benchmark ``px``; accounts with holdings and with a buy that has a price in reach.
+
+    Positions, cost basis and shadow come from one pass over the transactions: sums by position, then by ticker, then by
+    account, each of which goes on from the keys of the one before.
+    """
+    buy, sell = F.col("type") == "BUY", F.col("type") == "SELL"
+    amount = F.when(buy, F.col("quantity") * F.col("price"))
+    usd = convert_currency(tx.withColumn("currency", F.coalesce("currency", F.lit("USD"))).withColumn("amount", amount), fx, "amount", "USD")
+    seen = usd.join(_near(px, tolerance_days), F.to_date(usd["timestamp"]) == F.col("_day"), "left")
+    pos = seen.groupBy("account_id", "ticker", "asset_type", "currency").agg(
+        F.sum(F.when(buy, F.col("quantity"))).alias("bought"), F.sum(F.col("amount") + F.col("fee")).alias("cost"), F.coalesce(F.sum(F.when(sell, F.col("quantity"))), F.lit(0.0)).alias("sold"),
+        F.sum("converted").alias("usd"), F.sum(F.when(F.col("asof_price").isNotNull(), F.col("converted"))).alias("bcost"), F.sum(F.col("converted") / F.col("asof_price")).alias("units"))
+    pos = pos.withColumn("held", F.when(F.col("bought") > F.col("sold"), F.col("bought") - F.col("sold"))).withColumn("avg_price", F.try_divide("cost", "bought"))
+    valued = convert_currency(attach_price(pos, latest).withColumn("value", F.col("held") * F.col("price")), fx, "value", "USD")
+    sums = [F.sum(c).alias(c) for c in ("held", "bought", "usd", "converted", "bcost", "units")]
+    by_ticker = valued.groupBy("account_id", "ticker").agg(*sums)
+    out = by_ticker.groupBy("account_id").agg(F.sum("converted").alias("pmv"), F.sum(F.col("held") * F.try_divide("usd", "bought")).alias("pcost"), F.sum("bcost").alias("bcost"), F.sum("units").alias("units"))
+    return out.where("pmv is not null and pcost is not null and bcost is not null")
+
+
 def cost_basis_usd(tx: DataFrame, pos: DataFrame, fx: DataFrame) -> DataFrame:
     """USD cost of what is held: the average buying price (no fees) of the account's ticker, times the held quantity."""
     buys = tx.where("type = 'BUY'").withColumn("currency", F.coalesce("currency", F.lit("USD"))).withColumn("amount", F.col("quantity") * F.col("price"))

@@ -129,12 +129,10 @@ def cost_basis_usd(tx, fx):
        f"SELECT account_id, {s4('p_ret')} AS p_ret, {s4('b_ret')} AS b_ret, {s4('CASE WHEN bmv > 0 AND pcost > 0 THEN (pmv / bmv - 1) * 100 ELSE p_ret - b_ret END')} AS alpha_pct, {s4('pmv - bmv')} AS alpha_value FROM j",
        "transactions", "stock_prices", "benchmark_daily", "fx_load")
 def alpha_metrics(tx, px, daily, fx):
-    rates = _fx(fx)
-    pmv = P.convert_currency(_assets(tx, px), rates, "market_value", "USD").groupBy("account_id").agg(F.sum("converted").alias("pmv"))
+    latest = S.latest_value(px, "ticker", "close", ["date"])
     now = daily.agg(F.max_by("close", "date").alias("now"))
-    shadow = P.shadow_benchmark(tx, _bench(daily), rates, ["account_id"]).crossJoin(F.broadcast(now)).select("account_id", F.col("shadow_cost").alias("bcost"), (F.col("shadow_units") * F.col("now")).alias("bmv"))
-    cost = P.cost_basis_usd(tx, P.positions(tx), rates).withColumnRenamed("cost_basis", "pcost")
-    out = P.alpha_metrics(pmv.join(shadow, "account_id").join(cost, "account_id"))
+    totals = P.account_totals(tx, latest, _bench(daily), _fx(fx)).crossJoin(F.broadcast(now))
+    out = P.alpha_metrics(totals.withColumn("bmv", F.col("units") * F.col("now")))
     return rounded(out.select("account_id", "p_ret", "b_ret", "alpha_pct", "alpha_value"), "p_ret", "b_ret", "alpha_pct", "alpha_value")
 
 
