@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, jaccard, licences, packing, quality, sharding, substrings, suffix, tokens, toxicity
+from . import chat, decontamination, jaccard, licences, packing, quality, runs, sharding, substrings, suffix, tokens, toxicity, trie
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.op1_ngram_jaccard_join,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_token_counts": tokens.op8_token_counts,
     "op9_substring_dedup": substrings.op9_substring_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_chat_formatting": chat.op11_chat_formatting,
+    "op12_periodic_runs": runs.op12_periodic_runs,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
-ORACLE = {**jaccard.ORACLE, **decontamination.ORACLE, **substrings.ORACLE}
+ORACLE = {**jaccard.ORACLE, **decontamination.ORACLE, **substrings.ORACLE, **chat.ORACLE, **trie.ORACLE}
