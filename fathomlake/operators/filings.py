@@ -59,23 +59,48 @@ def melt_facts(df: DataFrame, ids: list[str]) -> DataFrame:
 
 def stack_statements(df: DataFrame, item: str, period_type: str, keys: list[str]) -> DataFrame:
     """A matrix of items by dates (every other column is named by its date) to ``*keys, item, date, value, period_type``;
-    days as ISO texts, cells without a value left out."""
+    days as ISO texts; cells without a number (null, NaN, or a text that is none) left out."""
     dates = [c for c in df.columns if c not in (*keys, item)]
-    wide = df.select(*keys, F.col(item).alias("item"), *[F.col(f"`{c}`").cast("double").alias(c) for c in dates])
+    wide = df.select(*keys, F.col(item).alias("item"), *[F.nullif(F.col(f"`{c}`").try_cast("double"), F.lit(float("nan"))).alias(c) for c in dates])
     long = wide.unpivot([*keys, "item"], [F.col(f"`{c}`") for c in dates], "_date", "value").where("value is not null")
     return long.select(*keys, "item", F.date_format(F.to_date(F.substring("_date", 1, 10)), "yyyy-MM-dd").alias("date"), "value", F.lit(period_type).alias("period_type"))
 
 
-def normalize_us_facts(df: DataFrame) -> DataFrame:
-    """Facts in the stored layout: rows without a value go, numbers and days get their types, and the key is the md5 of
-    ticker, accession number, concept and the three period days that are there, as they came."""
+#: Cells of the US facts that must be readable if they are there, and as what.
+US_CELLS = {"numeric_value": "double", "fiscal_year": "int", "period_start": "date", "period_end": "date", "period_instant": "date"}
+
+
+def us_fact_rejects(df: DataFrame) -> DataFrame:
+    """Rows with a cell that can't be read as its type, and ``reasons``: the names of those cells."""
+    return apply_contract(df, {c: f"`{c}` is null or try_cast(`{c}` as {t}) is not null" for c, t in US_CELLS.items()})[1]
+
+
+def normalize_us_facts(df: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """Facts in the stored layout, one for each key: the md5 of ticker, accession number, concept and the three period days
+    that are there, as they came.
+
+    Rows without a value (null or NaN) go, and so do those of ``us_fact_rejects``: a bad cell costs its row and not the batch. The
+    key leaves out unit and dimension, so facts may share it; the last by ``order`` (columns of the stored layout) stays, of equals
+    the greatest by value, unit, label, year and period.
+    """
+    from .series import latest_wins
+
+    read = {c: F.col(c).try_cast(t) for c, t in US_CELLS.items()}
+    good = df.where(" and ".join(f"(`{c}` is null or try_cast(`{c}` as {t}) is not null)" for c, t in US_CELLS.items()))
     key = fact_key(*[F.col(c) for c in ("ticker", "accession_number", "concept", "period_start", "period_end", "period_instant")])
-    days = [F.to_date(F.col(c)).alias(c) for c in ("period_start", "period_end", "period_instant")]
-    return df.where("numeric_value is not null").select(key.alias("fact_id"), "accession_number", "ticker", "concept", "label", F.col("numeric_value").cast("double").alias("value"), F.col("unit_ref").alias("unit"), F.col("fiscal_year").cast("int").alias("fiscal_year"), "fiscal_period", *days)
+    days = [read[c].alias(c) for c in ("period_start", "period_end", "period_instant")]
+    facts = good.select(key.alias("fact_id"), "accession_number", "ticker", "concept", "label", F.nullif(read["numeric_value"], F.lit(float("nan"))).alias("value"), F.col("unit_ref").alias("unit"), read["fiscal_year"].alias("fiscal_year"), "fiscal_period", *days)
+    ties = [c for c in ("value", "unit", "label", "fiscal_year", "fiscal_period") if c not in order]
+    return latest_wins(facts.where("value is not null"), ["fact_id"], [*order, *ties])
 
 
-def search_filings(df: DataFrame, code: str | None = None, name: str | None = None, form: str | None = None, n: int = 1000, since: str | None = None, until: str | None = None, at: str = "doc_id") -> DataFrame:
-    """The ``n`` newest filings by ``at`` that match all that is given; ``since`` and ``until`` are bounds of ``at``, included."""
+def search_filings(df: DataFrame, code: str | None = None, name: str | None = None, form: str | None = None, n: int = 1000, since: str | None = None, until: str | None = None, at: str | None = None, filer: str | None = None) -> DataFrame:
+    """The ``n`` newest filings by ``at`` that match all that is given; ``since`` and ``until`` are bounds of ``at``, included.
+
+    ``code``: the filer's code; ``name`` and ``filer``: parts of its security code and of its name, in the letters given;
+    ``at``: the time of submission where there is one, else ``doc_id``. Of filings of one time the greatest ``doc_id`` is first.
+    """
+    at = at or ("submit_datetime" if "submit_datetime" in df.columns else "doc_id")
     kind = dict(df.dtypes)[at]
     if since is not None:
         df = df.where(F.col(at) >= F.lit(since).cast(kind))
@@ -85,9 +110,12 @@ def search_filings(df: DataFrame, code: str | None = None, name: str | None = No
         df = df.where(F.col("edinet_code") == code)
     if name:
         df = df.where(F.col("sec_code").contains(name))
+    if filer:
+        df = df.where(F.col("filer_name").contains(filer))
     if form:
         df = df.where(F.col("form_code") == form)
-    return df.orderBy(F.desc(at), *(["doc_id"] if at != "doc_id" and "doc_id" in df.columns else [])).limit(n)
+    ties = [F.desc("doc_id") if at == "submit_datetime" else F.asc("doc_id")] if at != "doc_id" and "doc_id" in df.columns else []
+    return df.orderBy(F.desc(at), *ties).limit(n)
 
 
 def coalesce_sections(primary: DataFrame, secondary: DataFrame, keys: list[str], value: str) -> DataFrame:

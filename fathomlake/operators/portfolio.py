@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .asof import convert_historical
+
 
 def positions(tx: DataFrame) -> DataFrame:
     """Held quantity and average cost (buying fees included) by account, ticker, asset type and currency; one pass."""
@@ -42,10 +44,13 @@ def _near(px: DataFrame, tolerance_days: int) -> DataFrame:
     return offered.groupBy("_day").agg(F.min_by("_p", F.struct("_o", "_p")).alias("asof_price"))
 
 
-def shadow_benchmark(tx: DataFrame, px: DataFrame, fx: DataFrame, by: list[str]) -> DataFrame:
-    """What the invested money would hold of the benchmark: units and USD cost; buys without a price in reach are left out."""
+def shadow_benchmark(tx: DataFrame, px: DataFrame, fx: DataFrame, by: list[str], historical_fx: bool = False, tolerance_days: int | None = None) -> DataFrame:
+    """What the invested money would hold of the benchmark: units and USD cost; buys without a price in reach are left out.
+
+    Rates are today's, ``fx(symbol, rate)``; with ``historical_fx`` those of the day of each buy, from ``fx(symbol, date, rate)``.
+    """
     buys = tx.where("type = 'BUY'").withColumn("currency", F.coalesce("currency", F.lit("USD"))).withColumn("amount", F.col("quantity") * F.col("price"))
-    usd = convert_currency(buys, fx, "amount", "USD")
+    usd = convert_historical(buys, fx, "amount", "USD", "timestamp", tolerance_days) if historical_fx else convert_currency(buys, fx, "amount", "USD")
     return asof_price(usd, px).groupBy(*by).agg(F.sum("converted").alias("shadow_cost"), F.sum(F.col("converted") / F.col("asof_price")).alias("shadow_units"))
 
 
@@ -122,20 +127,26 @@ def transactions_desc(tx: DataFrame, *ties: str) -> DataFrame:
     return tx.orderBy(F.desc("timestamp"), *ties)
 
 
-def daily_values(px: DataFrame, pos: DataFrame, dates: DataFrame) -> DataFrame:
+#: Days whose sums are columns of one row.
+DAYS = 32
+
+
+def daily_values(px: DataFrame, pos: DataFrame, dates: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
     """Value of each account on each of ``dates(date)``, a few years of days; days without a positive total are left out.
 
-    A ticker's closes on those days are one array, so the join has a row for each holding and not for each holding and day,
-    and an account's arrays are summed place by place before they become rows. A ticker that many hold is skewed on the
-    side of the holdings only, which adaptive execution splits; Spark broadcasts the tickers when they are small.
+    ``px(ticker, date, close)`` may hold several closes of a day: the last by ``order``, of equals the greatest, counts.
+
+    Days are cut into blocks of ``DAYS``, and a ticker's closes of a block are the columns of one row. A holding meets them once
+    for each block, and the sums of an account are kept column by column, with partial sums, so that no list of holdings is
+    built. Holdings are dealt by account beforehand, three numbers a row; where the closes are small, which adaptive execution
+    sees from what it has written, they go to the holdings, and the sums need no further exchange.
     """
-    days = dates.select("date").distinct().agg(F.sort_array(F.collect_list("date")).alias("days"))
-    held = pos.groupBy("account_id", "ticker").agg(F.sum("quantity").alias("quantity"))
-    priced = px.where("close is not null").select("ticker", "date", "close").join(dates, "date")
-    by_day = priced.groupBy("ticker").agg(F.map_from_entries(F.collect_list(F.struct("date", "close"))).alias("closes")).crossJoin(F.broadcast(days))
-    closes = by_day.select("ticker", F.transform("days", lambda d: F.coalesce(F.try_element_at("closes", d), F.lit(0.0))).alias("closes"))
-    mine = held.join(closes, "ticker").groupBy("account_id").agg(F.collect_list(F.struct("quantity", "closes")).alias("held"))
-    zero = F.transform("days", lambda d: F.lit(0.0))
-    sums = F.aggregate("held", zero, lambda total, x: F.zip_with(total, x["closes"], lambda a, c: a + c * x["quantity"]))
-    values = mine.crossJoin(F.broadcast(days)).select("account_id", F.explode(F.arrays_zip("days", sums.alias("value"))).alias("x"))
-    return values.select("account_id", F.col("x.days").alias("date"), F.col("x.value").alias("value")).where("value > 0")
+    days = dates.select("date").where("date is not null").distinct().agg(F.sort_array(F.collect_list("date")).alias("days")).select(F.posexplode("days").alias("place", "date"))
+    days = days.select("date", F.floor(F.col("place") / DAYS).alias("block"), (F.col("place") % DAYS).alias("slot"))
+    close = F.max_by("close", F.struct(*order, "close")) if order else F.max("close")
+    one = px.where("close is not null").join(F.broadcast(days), "date").groupBy("ticker", "block", "slot").agg(close.alias("close"))
+    wide = one.groupBy("ticker", "block").agg(*[F.sum(F.when(F.col("slot") == i, F.col("close"))).alias(f"c{i}") for i in range(DAYS)])
+    held = pos.where("quantity is not null").select("account_id", "ticker", "quantity").repartition("account_id")
+    sums = held.join(wide, "ticker").groupBy("account_id", "block").agg(*[F.sum(F.col("quantity") * F.col(f"c{i}")).alias(f"c{i}") for i in range(DAYS)])
+    each = sums.select("account_id", "block", F.posexplode(F.array(*[f"c{i}" for i in range(DAYS)])).alias("slot", "value")).where("value > 0")
+    return each.join(F.broadcast(days), ["block", "slot"]).select("account_id", "date", "value")

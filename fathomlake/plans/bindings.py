@@ -55,6 +55,17 @@ SQL = {
         CASE WHEN l_linenumber % 2 = 1 THEN CAST(CAST(l_shipdate AS DATE) AS STRING) END AS period_instant FROM lineitem""",
     "statement_matrix": """SELECT l_suppkey AS ticker, concat('item', l_linenumber) AS item, max(CASE WHEN extract(YEAR FROM l_shipdate) = 1995 THEN l_extendedprice END) AS y1995,
         max(CASE WHEN extract(YEAR FROM l_shipdate) = 1996 AND l_suppkey % 3 > 0 THEN l_extendedprice END) AS y1996 FROM lineitem GROUP BY l_suppkey, l_linenumber""",
+    "fx_history": """SELECT CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'JPY' WHEN '2' THEN 'EUR' WHEN '3' THEN 'CNY' WHEN '4' THEN 'GBP' ELSE 'USD' END AS symbol,
+        CAST(o_orderdate AS DATE) AS date, CASE WHEN extract(DAY FROM o_orderdate) = 5 THEN 0 ELSE min(o_totalprice) / 7000 END AS rate
+        FROM orders WHERE extract(DAY FROM o_orderdate) < 10 GROUP BY o_orderpriority, o_orderdate""",
+    "us_facts_dirty": """SELECT concat('T', l_orderkey % 50) AS ticker, concat('acc-', l_orderkey) AS accession_number, concat('us-gaap:Item', l_linenumber % 3) AS concept, 'label' AS label,
+        CASE WHEN l_quantity < 3 THEN NULL WHEN l_suppkey % 5 = 0 THEN 'abc' WHEN l_suppkey % 7 = 0 THEN 'NaN' ELSE CAST(l_extendedprice AS STRING) END AS numeric_value,
+        CASE WHEN l_linenumber > 3 THEN 'shares' ELSE 'USD' END AS unit_ref, CASE WHEN l_suppkey % 11 = 0 THEN 'FYx' ELSE CAST(extract(YEAR FROM l_shipdate) AS STRING) END AS fiscal_year, 'FY' AS fiscal_period,
+        CASE WHEN l_linenumber % 2 = 0 THEN '1997-01-01' END AS period_start, CASE WHEN l_partkey % 13 = 0 THEN 'bad' ELSE '1997-12-31' END AS period_end, CAST(NULL AS STRING) AS period_instant FROM lineitem""",
+    "statement_matrix_dirty": """SELECT l_suppkey AS ticker, concat('item', l_linenumber) AS item, CASE WHEN l_suppkey % 5 = 0 THEN 'n/a' ELSE CAST(max(l_extendedprice) AS STRING) END AS y1995,
+        CASE WHEN l_suppkey % 4 = 0 THEN CAST('NaN' AS DOUBLE) WHEN l_suppkey % 3 > 0 THEN min(l_extendedprice) END AS y1996 FROM lineitem GROUP BY l_suppkey, l_linenumber""",
+    "registry": """SELECT o_orderkey AS doc_id, concat('E', o_custkey % 97) AS edinet_code, concat(o_custkey % 9000 + 1000, '0') AS sec_code,
+        concat('Company ', o_custkey % 1000, ' KK') AS filer_name, o_orderdate AS submit_datetime, o_totalprice AS amount FROM orders""",
     "tags": """SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'BusinessRisksTextBlock' WHEN 1 THEN 'ManagementPolicyBusinessEnvironmentIssuesToAddressTextBlock'
         WHEN 2 THEN 'ResearchAndDevelopmentActivitiesTextBlock' WHEN 3 THEN 'AnalysisOfFinancialPositionOperatingResultsAndCashFlowsTextBlock'
         WHEN 4 THEN 'OverviewOfBusinessTextBlock' WHEN 5 THEN 'XBRLDataOf2024Notes' ELSE lang END AS tag FROM documents""",

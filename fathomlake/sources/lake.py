@@ -66,10 +66,48 @@ def read_universe(spark: SparkSession, path: str, schema: StructType | str) -> D
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def register_lake(spark: SparkSession, root: str, tables: list[str]) -> None:
-    """Make the Parquet tables under ``root`` known by name, so that one session joins them."""
-    for t in tables:
-        spark.read.parquet(f"{root}/{t}").createOrReplaceTempView(t)
+def append_months(df: DataFrame, path: str, key: str = "symbol", date: str = "date") -> None:
+    """Append a load, one folder a key and month."""
+    rows = df.withColumn("month", F.date_format(date, "yyyy-MM"))
+    rows.hint("rebalance", key, "month").write.mode("append").partitionBy(key, "month").parquet(path)
+
+
+def read_since(spark: SparkSession, path: str, target: DataFrame, schema: StructType, key: str = "symbol", date: str = "date") -> DataFrame:
+    """Rows of a lake of ``append_months`` from each key's last date in ``target`` on, that day included; keys new to it whole.
+
+    The folders that can hold such rows, by key and month, are found from the names of the files alone, and only those are listed
+    and opened. The driver gets their names, as it does for any scan. ``schema``: that of the files, with ``key`` and ``month``
+    (texts).
+    """
+    marks = target.groupBy(key).agg(F.max(date).alias("_mark"))
+    # This reader gives the names of files and opens none as long as their content isn't asked for.
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    part = lambda c: F.url_decode(F.regexp_replace(F.regexp_extract("path", f"/{c}=([^/]*)/", 1), r"\+", "%2B")).alias(c)
+    folders = names.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), part(key), part("month")).distinct()
+    due = folders.join(marks, key, "left").where(F.col("_mark").isNull() | (F.col("month") >= F.date_format("_mark", "yyyy-MM")))
+    due = [r.folder for r in due.select("folder").collect()]
+    if not due:
+        return spark.createDataFrame([], schema)
+    source = spark.read.schema(schema).option("basePath", path).parquet(*due)
+    return source.join(marks, key, "left").where(F.col("_mark").isNull() | (F.col(date) >= F.col("_mark"))).select(source.columns)
+
+
+def register_lake(spark: SparkSession, root: str, tables: list[str] | dict[str, dict[str, str]]) -> None:
+    """Make the Parquet tables under ``root`` known by name, so that one session joins them.
+
+    A list: temporary views of this session. Names of databases with the columns (DDL) of their tables: external tables of the
+    catalog over ``root/database/table``, which every session of the catalog sees; their files stay when a table is dropped, and
+    a table that is registered already gets the columns that are given now.
+    """
+    if not isinstance(tables, dict):
+        for t in tables:
+            spark.read.parquet(f"{root}/{t}").createOrReplaceTempView(t)
+        return
+    for database, members in tables.items():
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+        for t, columns in members.items():
+            spark.sql(f"DROP TABLE IF EXISTS `{database}`.`{t}`")
+            spark.sql(f"CREATE TABLE `{database}`.`{t}` ({columns}) USING parquet LOCATION '{root}/{database}/{t}'")
 
 
 def compact_latest(spark: SparkSession, path: str, out: str, keys: list[str], order: list[str]) -> None:
