@@ -134,12 +134,15 @@ def drop(*frames: DataFrame) -> None:
 
 
 def bucketed(rows: DataFrame, column: str) -> DataFrame:
-    """``rows`` as a table in buckets of ``column``, which joins and groups by that column read in place."""
+    """``rows`` as a table in buckets of ``column``, which joins and groups by that column read in place. Its files lie in the
+    shared folder, not in the session's warehouse, which may be a folder of the driver alone."""
     spark = rows.sparkSession
     name = f"fathomlake_{uuid.uuid4().hex}"
     n = partitions(spark)
+    path = f"{shared_dir(spark)}/{name}"
     _note(spark, name)
-    rows.repartition(n, column).write.format("parquet").option("compression", "zstd").bucketBy(n, column).saveAsTable(name)
+    _note(spark, path)
+    rows.repartition(n, column).write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, column).saveAsTable(name)
     return spark.table(name)
 
 

@@ -12,8 +12,6 @@ without a word of ``CUE`` are passed over, which ``cue=None`` does away with; RE
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,8 +134,18 @@ def pairs(text: Column) -> Column:
     return F.filter(grams(text), lambda g: F.contains(g, F.lit(" ")))
 
 
-@lru_cache(maxsize=4)
+#: Of the process: the statements and the learner are the same in every session.
+_fitted: list[tuple] = []
+
+
 def fitted(spark: SparkSession) -> tuple[list[tuple[str, list[float]]], list[float], float]:
+    """What ``_fit`` gives, once a process."""
+    if not _fitted:
+        _fitted.append(_fit(spark))
+    return _fitted[0]
+
+
+def _fit(spark: SparkSession) -> tuple[list[tuple[str, list[float]]], list[float], float]:
     """Weights of each n-gram for each class, the intercepts, and the calibrated least probability."""
     rows = spark.createDataFrame(statements(), "fold int, label int, text string").coalesce(1).withColumn("grams", grams(F.col("text")))
     vocabulary = [r[0] for r in rows.select(F.explode("grams").alias("g")).distinct().orderBy("g").collect()]

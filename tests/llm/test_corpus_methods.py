@@ -49,6 +49,24 @@ def test_operators_leave_their_result_and_nothing_else(spark, tmp_path, monkeypa
     assert not list(tmp_path.glob("*-*"))
 
 
+def test_bucketed_tables_lie_in_the_shared_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}/here")
+    with common.scratch(spark):
+        held = common.bucketed(table(spark, [(1, "a"), (2, "b")]), "doc_id")
+        assert held.count() == 2 and all(f.startswith(f"file://{tmp_path}/here/") for f in held.inputFiles())
+    assert not list((tmp_path / "here").glob("*")) and not [t for t in spark.catalog.listTables() if t.name.startswith("fathomlake_")]
+
+
+def test_results_of_two_stages_are_read_side_by_side(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = table(spark, [(1, text), (2, text), (3, "other words")])
+    one = corpus_pipeline.one_of_each_group(spark, docs, SF)
+    two = corpus_pipeline.drop_repeated_bytes(spark, docs.where("doc_id > 1"), SF)
+    three = corpus_pipeline.one_of_each_group(spark, docs.where("doc_id > 2"), SF)
+    assert (one.count(), two.count(), three.count(), one.count()) == (2, 2, 1, 2)
+    common.release(spark)
+
+
 # ---- models and bounds ----------------------------------------------------------------------------------------------
 
 
@@ -165,32 +183,56 @@ def test_paragraphs_by_brute_force(spark):
     line = prose(rng, 8, word) + "."
     rows = [(1, f"{prose(rng, 30, word)}. {shared} {prose(rng, 20, word)}."), (2, f"{line}\n{prose(rng, 40, word)}.\n{shared}"), (3, f"{prose(rng, 9, word)}\n{line}\nOh. {shared} No. {shared}"), (3, "x"), (4, None), (5, ""), (None, shared), (6, shared * 2000)]
     docs = spark.createDataFrame([(i, t, "g", 1) for i, t in rows], "doc_id long, text string, gone string, place int")
-    units = {k: re.findall(substrings.UNIT, t or "") for k, (_, t) in enumerate(rows)}
     form = lambda u: " ".join(u.split()).lower()
+    lines = {k: [re.findall(r"[^.!?\n]+[.!?]*\n*|[.!?]+\n*|\n+", line) for line in re.findall(r"[^\n]*\n+|[^\n]+", t or "")] for k, (_, t) in enumerate(rows)}
     first: dict[str, tuple] = {}
+    places = []
     for k, (i, _) in enumerate(rows):
-        for p, u in enumerate(units[k]):
-            if i is not None and len(u.split()) >= substrings.LEAST:
-                first[form(u)] = min(first.get(form(u), (i, k, p)), (i, k, p))
+        p = 0
+        for line in lines[k]:
+            for at, u in [(2 * p + 1, "".join(line)), *((2 * q, u) for q, u in enumerate(line, p) if len(line) > 1 and len(u.split()) >= substrings.LEAST)]:
+                if i is not None and u.strip():
+                    places.append((form(u), (i, k, at)))
+                    first[form(u)] = min(first.get(form(u), (i, k, at)), (i, k, at))
+            p += len(line)
+    gone = {at for f, at in places if first[f] != at}
     for k, (i, text) in enumerate(rows):
-        long = [len(u.split()) >= substrings.LEAST for u in units[k]]
-        gone = [x and i is not None and first[form(u)] != (i, k, p) for p, (u, x) in enumerate(zip(units[k], long, strict=True))]
+        units = [(u, 2 * p + 1) for p, line in zip(np.cumsum([0, *map(len, lines[k])]).tolist(), lines[k], strict=False) for u in line]
+        whole = [(i, k, line) in gone for _, line in units]
+        long = [len(u.split()) >= substrings.LEAST for u, _ in units]
+        marked = [whole[p] or (long[p] and (i, k, 2 * p) in gone) for p in range(len(units))]
         at = [p for p, x in enumerate(long) if x]
         for p, x in enumerate(long):
-            if not x:
+            if not x and not whole[p]:
                 low, high = [q for q in at if q < p], [q for q in at if q > p]
-                gone[p] = bool(low and high and gone[low[-1]] and gone[high[0]])
+                marked[p] = bool(low and high and marked[low[-1]] and marked[high[0]])
         kept, run = "", []
-        for u, x in [*zip(units[k], gone, strict=True), ("", False)]:
-            if x:
-                run.append(u)
+        for p, (u, _) in enumerate([*units, ("", 0)]):
+            if p < len(units) and marked[p]:
+                run.append(p)
                 continue
-            kept += "".join(run) if sum(len(y.split()) for y in run) < substrings.PARAGRAPH else ""
+            if sum(len(units[q][0].split()) for q in run) < substrings.PARAGRAPH:
+                kept += "".join(units[q][0] for q in run if not whole[q])
             kept, run = kept + u, []
         got = [r.kept for r in substrings.remove_repeated_units(docs).where(F.col("doc_id").eqNullSafe(i) & (F.col("n_chars") == len(text or ""))).collect()]
         assert got == [kept], k
 
 
+def test_passage_words_by_brute_force(spark):
+    rng = random.Random(21)
+    words = [f"v{k}" for k in range(400)]
+    shared = prose(rng, 55, words)
+    rows = [(i, f"{prose(rng, rng.randrange(5, 90), words)} {shared if i % 3 == 0 else ''} {prose(rng, 20, words)}") for i in range(12)] + [(20, shared), (21, None), (22, f"{shared} {shared}"), (23, shared.rsplit(" ", 5)[0])]
+    n = suffix.PASSAGE
+    seen = Counter()
+    split = {i: (t or "").split() for i, t in rows}
+    for w in split.values():
+        seen.update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+    want = {i: len({k + j for k in range(len(w) - n + 1) if seen[tuple(w[k : k + n])] > 1 for j in range(n)}) for i, w in split.items()}
+    got = {r.doc.doc_id: r.n_passage_words for r in suffix.remove_repeats(table(spark, rows), ["n_passage_words"]).collect()}
+    assert got == want and want[20] == 55 and want[23] == 0
+
+
 def test_words_as_symbols_by_brute_force(spark):
     rng = random.Random(8)
     word = ["".join(rng.choice("aeiournstlk") for _ in range(rng.randint(2, 8))) for _ in range(2000)]

@@ -290,8 +290,8 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
 def test_repeated_lines_of_any_length(spark):
     long = "the old harbour has seven quiet piers."
     rows = [(1, f"menu\nOne. Two. Three.\n{long} Fine day.\nonly here\n"), (2, f"Menu \nnew. Two. words\none. two.  three.\nThen {long}\n"), (3, f"menu\nBefore. {long} Fine day.\n\nrare {long} ok"), (4, f"{long} Fine day.\nmenu")]
-    got = {r.doc_id: r.kept for r in substrings.remove_repeated_units(spark.createDataFrame(rows, "doc_id long, text string"), lines=True).collect()}
-    assert got == {1: rows[0][1], 2: f"new. Two. words\nThen {long}\n", 3: f"Before.\nrare {long} ok".replace("Before.\n", "Before."), 4: ""}
+    got = {r.doc_id: r.kept for r in substrings.remove_repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: f"new. Two. words\nThen {long}\n", 3: f"Before. {long} Fine day.\n\nrare {long} ok", 4: ""}
 
 
 def test_toxic_terms_come_from_all_labels(spark):
