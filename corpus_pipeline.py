@@ -1,13 +1,12 @@
 """A corpus pipeline of five stages over ``documents``; each works on all that the one before it kept.
 
 Every stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of ``documents``. A stage reads ``docs``
-more than once, so the caller writes each result and reads it again, as ``run`` does.
+more than once, so the caller writes each result and reads it again, as ``run`` does. A result is read from what its stage has
+written, which stays until ``common.release``, or until the end of the scope that the caller has opened.
 """
 
 from __future__ import annotations
 
-from functools import wraps
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,32 +17,14 @@ from fathomlake.llm.common import cut, discard, documents, drop, noted, small, w
 
 #: The column that tells rows apart inside a stage.
 ROW = "_fathomlake_row"
-#: What the last stage left for its result to be read from.
-_left: list[str] = []
-
 
-def stage(function):
-    """A stage deletes what the one before it left, since by then its result has been written and read again."""
-
-    @wraps(function)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        discard(spark, _left)
-        with noted(spark) as names:
-            out = function(spark, docs, sf_dir)
-        _left.extend(names)
-        return out
 
-    return run
-
-
-@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go. The score depends on the text alone, so rows without doc_id are judged too."""
     scorer = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, scorer)
 
 
-@stage
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate rows one stays: that of the smallest doc_id, rows without doc_id last.
 
@@ -58,7 +39,6 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return rows.join(small(cut(gone, "gone")), ROW, "left_anti").drop(ROW)
 
 
-@stage
 def drop_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of over 50 words that occur elsewhere go, in all places; the documents stay, ``n_chars`` is counted anew."""
     left = suffix.remove_repeats(docs, ["n_removed", "kept"], suffix.PASSAGE, suffix.WORDS)
@@ -66,13 +46,11 @@ def drop_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return left.select(*[anew.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
-@stage
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain 0.8 or more of the shingles of a test item go."""
     return decontamination.keep_uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 tokens."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -98,7 +76,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _run(docs: DataFrame, sf_dir: str) -> DataFrame:
     spark, before = docs.sparkSession, []
     for name, function in STAGES[:-1]:
-        docs = cut(function(spark, docs, sf_dir), f"stage-{name}")
+        with noted(spark) as left:
+            out = function(spark, docs, sf_dir)
+        docs = cut(out, f"stage-{name}")
+        discard(spark, left)
         drop(*before)
         before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
