@@ -1,3 +1,3 @@
 
 
-from . import queries, statement_queries, market_queries, ledger_queries, cleaning_queries, history_queries  # noqa: F401
+from . import queries, statement_queries, market_queries, ledger_queries, cleaning_queries, history_queries, lake_queries  # noqa: F401

@@ -187,11 +187,15 @@ def _members(batches):
     yield flush(held)
 
 
-def read_filing_archives(spark: SparkSession, path: str) -> DataFrame:
-    """``path, file_name, line, width, c0..c8`` of the CSV members of all ZIP files under ``path``.
+def archive_rows(files: DataFrame) -> DataFrame:
+    """``path, file_name, line, width, c0..c8`` of the CSV members of the ZIP files ``files(path, content)``.
 
     The first line of a member, and lines with more cells than it, are left out; files that are no archives give no rows.
     A task holds one archive at a time, and gives out its lines in batches.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    return files.mapInArrow(_members, f"path string, file_name string, line int, width int, {', '.join(f'{c} string' for c in CELLS)}")
+    return files.select("path", "content").mapInArrow(_members, f"path string, file_name string, line int, width int, {', '.join(f'{c} string' for c in CELLS)}")
+
+
+def read_filing_archives(spark: SparkSession, path: str) -> DataFrame:
+    """``archive_rows`` of all files under ``path``."""
+    return archive_rows(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))

@@ -107,7 +107,7 @@ _LEDGER = "date date, status string, doc_count long"
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
     """``date, status, doc_count`` of the days that are marked; none where no chunk has been loaded."""
     try:
-        return spark.read.schema(_LEDGER).parquet(f"{root}/ledger")
+        return spark.read.schema(_LEDGER).parquet(f"{root}/ledger").select("date", "status", "doc_count")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
