@@ -3,11 +3,14 @@
 Test items are short and documents long, so plain MinHash similarity between them is near 0 and containment is what
 counts. Items are partitioned by the size of their shingle set, in powers of two. An item's sketch is its ``k`` smallest
 shingle hashes, where ``k`` belongs to its partition and the hits asked for follow from it, so that an item of which 0.8 is
-contained is missed with a probability of 1e-4 at most.
-
-1. The sketches are a table of hashes. A sieve of a fixed size, bits of those hashes, goes to the tasks, whatever their number.
-2. Documents are read once: the shingle hashes that pass the sieve are joined with the sketches by hash, and hits counted for
-   each text and item. Texts are named by their hash, so copies are one.
+contained is missed with a probability of 1e-4 at most. Each partition is a search of its own, and a document takes part in those
+whose items are small enough for it: with fewer than 0.8 of the least number of shingles of a partition it can contain none of
+its items.
+
+1. The sketches are a table of hashes by partition. Sieves of a fixed size, bits of those hashes, one for each partition (32 at most),
+   go to the tasks, whatever the number of items.
+2. Documents are read once: the shingle hashes that pass the sieve of a partition that the document takes part in are joined with
+   its sketches by hash, and hits counted for each text and item. Texts are named by their hash, so copies are one.
 3. The texts with enough hits are read again and joined with their items, and each pair is verified on the words themselves.
 """
 
@@ -27,8 +30,8 @@ THRESHOLD = (4, 5)
 MISS = 1e-4
 #: Hashes in the sketches of the partitions of fewer than 64 shingles, and of the others.
 SHORT_SKETCH, LONG_SKETCH = 16, 32
-#: Bits of the sieve (8 MB), and of one of its chunks.
-SIEVE, CHUNK = 26, 15
+#: Bits of a partition's sieve (1 MB), and of one of its chunks.
+SIEVE, CHUNK = 23, 15
 
 
 def sketch_rule(n: int) -> tuple[int, int]:
@@ -63,34 +66,44 @@ def _sketched(batches):
 
 
 def _bits(table: pa.Table) -> pa.Table:
-    """The cells of one chunk of the sieve as bits."""
+    """The cells of one chunk of a sieve as bits."""
     bits = np.zeros(1 << CHUNK, bool)
     bits[table["cell"].to_numpy() & (1 << CHUNK) - 1] = True
-    return pa.table({"chunk": table["chunk"].slice(0, 1), "bits": [np.packbits(bits).tobytes()]})
+    return pa.table({"partition": table["partition"].slice(0, 1), "chunk": table["chunk"].slice(0, 1), "bits": [np.packbits(bits).tobytes()]})
 
 
-def _sieve(keys: DataFrame) -> np.ndarray:
-    """Bits of the hashes ``key``: at most 8 MB come to the driver, whatever their number."""
+def _sieves(keys: DataFrame) -> dict[int, np.ndarray]:
+    """Bits of the hashes ``key`` of each partition that has some: at most 32 times 1 MB come to the driver, whatever their number."""
     cell = F.shiftrightunsigned("key", 64 - SIEVE).cast("int")
-    cells = keys.select(cell.alias("cell")).distinct().withColumn("chunk", F.shiftright("cell", CHUNK))
-    out = np.zeros((1 << SIEVE - CHUNK, 1 << CHUNK - 3), np.uint8)
-    for chunk, bits in cells.groupBy("chunk").applyInArrow(_bits, "chunk int, bits binary").collect():
-        out[chunk] = np.frombuffer(bits, np.uint8)
-    return out.ravel()
+    cells = keys.select("partition", cell.alias("cell")).distinct().withColumn("chunk", F.shiftright("cell", CHUNK))
+    out: dict[int, np.ndarray] = {}
+    for partition, chunk, bits in cells.groupBy("partition", "chunk").applyInArrow(_bits, "partition int, chunk int, bits binary").collect():
+        sieve = out.setdefault(partition, np.zeros((1 << SIEVE - CHUNK, 1 << CHUNK - 3), np.uint8))
+        sieve[chunk] = np.frombuffer(bits, np.uint8)
+    return {p: sieve.ravel() for p, sieve in out.items()}
+
+
+def least_shingles(partition: int) -> int:
+    """Shingles that a document has if it contains enough of an item of the partition."""
+    return -(-(THRESHOLD[0] << partition) // THRESHOLD[1])
 
 
-def _probe(sieve):
-    """Rows (th, text) to the distinct shingle hashes (th, key) that pass the sieve."""
+def _probe(sieves):
+    """Rows (th, text) to the distinct shingle hashes (th, partition, key) that pass the sieves of the document's partitions."""
 
     def run(batches):
-        bits = sieve.value
+        bits = sieves.value
         for batch in batches:
             for part in S.slices(batch, "text"):
                 h, doc, _ = S.shingles(S.words(part.column("text")))
+                pairs = np.unique(np.stack((doc.astype(np.uint64), h)), axis=1)
+                doc, h = pairs[0].astype(np.int64), pairs[1]
+                size = np.bincount(doc, minlength=part.num_rows)[doc]
                 cell = (h >> np.uint64(64 - SIEVE)).astype(np.int64)
-                some = np.flatnonzero(bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
-                pairs = np.unique(np.stack((doc[some].astype(np.uint64), h[some])), axis=1)
-                yield pa.RecordBatch.from_arrays([part.column("th").take(pa.array(pairs[0].astype(np.int64))), pa.array(pairs[1].view(np.int64))], ["th", "key"])
+                for p, sieve in bits.items():
+                    some = np.flatnonzero((size >= least_shingles(p)) & (sieve[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool))
+                    if len(some):
+                        yield pa.RecordBatch.from_arrays([part.column("th").take(pa.array(doc[some])), pa.array(np.full(len(some), p, np.int32)), pa.array(h[some].view(np.int64))], ["th", "partition", "key"])
 
     return run
 
@@ -127,9 +140,9 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     wanted = cut(items.where("text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).withColumn("item", F.monotonically_increasing_id()), "items")
     sketches = wanted.select("item", "text").mapInArrow(_sketched, "item long, partition int, need int, keys array<long>")
     sketches = cut(sketches.select("item", "partition", "need", F.explode("keys").alias("key")), "sketches")
-    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(sketches))
-    hits = texts.select("th", "text").mapInArrow(_probe(sieve), "th long, key long").distinct()
-    found = hits.join(sketches, "key").groupBy("th", "item").agg(F.count("*").alias("hits"), F.max("need").alias("need")).where("hits >= need")
+    sieves = docs.sparkSession.sparkContext.broadcast(_sieves(sketches))
+    hits = texts.select("th", "text").mapInArrow(_probe(sieves), "th long, partition int, key long").distinct()
+    found = hits.join(sketches, ["partition", "key"]).groupBy("th", "item").agg(F.count("*").alias("hits"), F.max("need").alias("need")).where("hits >= need")
     found = cut(found.select("th", "item"), "candidates")
     drop(sketches)
     again = texts.join(small(found.select("th").distinct()), "th", "left_semi")

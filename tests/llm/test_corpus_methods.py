@@ -218,6 +218,26 @@ def test_paragraphs_by_brute_force(spark):
         assert got == [kept], k
 
 
+def test_items_of_every_size_partition_are_found(spark):
+    """Items of 1 to 2,000 shingles, 0.8 to all of each in a long document and less in another; and documents just large enough."""
+    rng = random.Random(6)
+    words = [f"q{k}" for k in range(5000)]
+    items, rows, want = [], [], set()
+    for i, n in enumerate([1, 2, 3, 5, 8, 15, 16, 31, 40, 63, 64, 100, 127, 128, 300, 512, 1000, 2000]):
+        w = [rng.choice(words) for _ in range(n + 4)]
+        items.append((i, " ".join(w)))
+        some = -(-4 * n // 5)
+        part = " ".join(w[: some + 4])  # just enough shingles, and nothing else in the document
+        rows += [(100 * i, part), (100 * i + 1, f"{prose(rng, 300, words)} {part} {prose(rng, 2500, words)}"), (100 * i + 2, f"{prose(rng, 50, words)} {' '.join(w)}")]
+        want |= {(100 * i + k, i) for k in range(3)}
+        if n > 4:
+            rows.append((100 * i + 3, f"{prose(rng, 900, words)} {' '.join(w[: some + 3])}"))
+    got = decontamination.contained_items(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+    for n in (1, 5, 64, 1000):
+        assert decontamination.least_shingles(n.bit_length() - 1) <= -(-4 * n // 5)
+
+
 def test_passage_words_by_brute_force(spark):
     rng = random.Random(21)
     words = [f"v{k}" for k in range(400)]
