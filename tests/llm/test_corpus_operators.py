@@ -223,11 +223,31 @@ def test_repeated_units(docs, none, texts):
 
 
 def test_licences(spark, docs, none):
-    rows = [(1, "Some prose.\nReleased under the MIT License.\nMore."), (2, "The warrant for the search was signed on Friday by an old judge."), (3, None), (4, ""), (4, "All rights reserved."), (None, "Licensed under the Apache License, Version 2.0.")]
+    rows = [(1, "Some prose.\nReleased under the MIT License.\nMore."), (2, "The house by the river was sold on Friday to an old judge."), (3, None), (4, ""), (4, "All rights reserved."), (None, "Licensed under the Apache License, Version 2.0.")]
     got = {(r.doc_id, r.paragraph): (r.family, r.confirmed) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {(1, 1): ("mit", True), (2, 0): ("unknown", False), (4, 0): ("proprietary", True), (None, 0): ("apache", True)}
+    assert got == {(1, 1): ("mit", True), (4, 0): ("proprietary", True), (None, 0): ("apache", True)}
     assert licences.scan(none).count() == 0
-    assert all(__import__("re").search(licences.CUE, t.lower()) for ts in licences.TEMPLATES.values() for t in ts if "SPDX" not in t or "license" in t.lower())
+
+
+#: Written apart from the statements that the model is trained on.
+LICENCES = [
+    ("Available under the EUPL-1.2", "eupl"), ("Freigegeben unter der MIT Lizenz", "mit"), ("Distributed under the GPLv3", "gpl"), ("Unter der GNU General Public License veröffentlicht", "gpl"), ("Released under the terms of the ISC license", "isc"),
+    ("Diese Software darf unter den Bedingungen der Apache License 2.0 genutzt werden.", "apache"), ("Ce logiciel est distribué sous licence MIT.", "mit"), ("Este software se distribuye bajo licencia GPLv3.", "gpl"), ("Inhalte stehen unter CC BY-SA 4.0, sofern nicht anders angegeben.", "cc-by-sa"),
+    ("Except where otherwise noted, content on this site is licensed under CC BY 4.0", "cc-by"), ("Photo by J. Doe, CC BY-NC 2.0", "cc-by-nc"), ("CC0 1.0", "public-domain"), ("© 2019 Acme Corp. All rights reserved.", "proprietary"), ("Alle Rechte vorbehalten", "proprietary"), ("Tous droits réservés, 2021", "proprietary"),
+    ("This file is part of Foo and is licensed under the BSD 2-clause license", "bsd"), ("Mozilla Public License v2.0 applies to this module", "mpl"), ("The authors place this code in the public domain", "public-domain"), ("El contenido está bajo licencia Creative Commons Reconocimiento 4.0", "cc-by"), ("Lizenziert gemäß Apache-2.0", "apache"),
+    ("This library is free software; you can redistribute it under the terms of the LGPL", "gpl"), ("Permission is hereby granted, free of charge, to any person obtaining a copy", "mit"),
+]
+NO_LICENCES = [
+    "He came with the bus, mit dem Rad", "The apache tribe lived in the plains", "I got my licence by post", "Die Lizenz des Piloten lief ab", "Sous la table, le chat dort", "La licencia del bar fue renovada", "the general public likes the mit in the sun", "Version 2.0 released",
+    "public domain of ideas is what we discussed in class", "Er geht mit seiner Frau und mit Hund", "Under the bridge by the sea", "All rights and duties", "They released the prisoners under the terms of the peace", "creative and common", "by by by", "in der und mit zu er für", "Attribution of the painting is uncertain",
+]
+
+
+def test_licences_in_statements_that_were_not_trained_on(spark):
+    rows = [(k, t) for k, (t, _) in enumerate(LICENCES)] + [(100 + k, t) for k, t in enumerate(NO_LICENCES)]
+    got = {r.doc_id: r.family for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("family <> 'unknown'").collect()}
+    assert sum(got.get(k) == family for k, (_, family) in enumerate(LICENCES)) >= 19
+    assert sum(100 + k in got for k in range(len(NO_LICENCES))) <= 2
 
 
 def test_toxicity(spark, none):
