@@ -96,14 +96,15 @@ def _probe(sieves):
         for batch in batches:
             for part in S.slices(batch, "text"):
                 h, doc, _ = S.shingles(S.words(part.column("text")))
-                pairs = np.unique(np.stack((doc.astype(np.uint64), h)), axis=1)
-                doc, h = pairs[0].astype(np.int64), pairs[1]
+                # Repeats included, so no less than the distinct ones.
                 size = np.bincount(doc, minlength=part.num_rows)[doc]
                 cell = (h >> np.uint64(64 - SIEVE)).astype(np.int64)
+                place, bit = cell >> 3, np.uint8(1) << (7 - (cell & 7)).astype(np.uint8)
                 for p, sieve in bits.items():
-                    some = np.flatnonzero((size >= least_shingles(p)) & (sieve[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool))
+                    some = np.flatnonzero((sieve[place] & bit).astype(bool) & (size >= least_shingles(p)))
                     if len(some):
-                        yield pa.RecordBatch.from_arrays([part.column("th").take(pa.array(doc[some])), pa.array(np.full(len(some), p, np.int32)), pa.array(h[some].view(np.int64))], ["th", "partition", "key"])
+                        pairs = np.unique(np.stack((doc[some].astype(np.uint64), h[some])), axis=1)
+                        yield pa.RecordBatch.from_arrays([part.column("th").take(pa.array(pairs[0].astype(np.int64))), pa.array(np.full(len(pairs[0]), p, np.int32)), pa.array(pairs[1].view(np.int64))], ["th", "partition", "key"])
 
     return run
 
