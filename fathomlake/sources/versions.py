@@ -87,16 +87,23 @@ def _replace(merged: DataFrame, path: str, by: list[str]) -> None:
 
 
 def _touched(spark: SparkSession, path: str, batch: DataFrame, by: list[str]) -> DataFrame:
-    """The rows of the partitions that ``batch`` has rows of; the others' files aren't opened."""
+    """The rows of the partitions that ``batch`` has rows of; the others' files aren't opened. The driver gets the partitions' names,
+    null being one."""
     table = spark.read.schema(batch.schema).option("basePath", path).parquet(path)
-    return table.join(F.broadcast(batch.select(*by).where(" or ".join(f"`{c}` is not null" for c in by)).distinct()), by, "left_semi").select(batch.columns)
+    names = batch.select(*[F.col(c).alias(f"_{c}") for c in by]).distinct()
+    values = names.collect()
+    for k, c in enumerate(by):  # conditions on partition columns choose the folders before the job starts
+        known = [r[k] for r in values if r[k] is not None]
+        table = table.where(F.col(c).isin(known) | F.col(c).isNull() if len(known) < len(values) else F.col(c).isin(known))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return table.join(F.broadcast(names), same, "left_semi").select(batch.columns)
 
 
 def upsert_partitions(batch: DataFrame, path: str, keys: list[str], by: list[str]) -> None:
     """Upsert ``batch``, which has a key once, into the table at ``path`` that is partitioned by ``by``; a key lies in one partition.
 
-    Only the partitions that the batch touches are read and written; all other files stay as they are. The partitions' names, a
-    value for each, are sent to all tasks. A table that isn't there yet is made.
+    Only the partitions that the batch touches are read and written; all other files stay as they are. A table that isn't there yet
+    is made; a null is a partition of its own.
     """
     _merge(batch, path, by, lambda old: upsert(old, batch, keys))
 

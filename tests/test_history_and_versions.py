@@ -135,7 +135,12 @@ def test_upsert_rewrites_the_partitions_that_it_touches(spark, tmp_path):
     V.upsert_partitions(spark.createDataFrame([(i, f"d{i % 4}", 1.0) for i in range(40)], shape), path, ["k"], ["day"])
     before = files(path)
     batch = spark.createDataFrame([(1, "d1", 9.0), (101, "d1", 9.0), (102, "d9", 9.0)], shape)
+    other = next((Path(path) / "day=d2").glob("*.parquet"))
+    held, check = other.read_bytes(), other.parent / f".{other.name}.crc"
+    check.unlink(missing_ok=True)
+    other.write_bytes(b"broken")  # whoever opens it fails
     V.upsert_partitions(batch, path, ["k"], ["day"])
+    other.write_bytes(held)
     untouched = lambda names: {f for f in names if f.startswith(("day=d0", "day=d2", "day=d3"))}
     assert untouched(files(path)) == untouched(before) and len(untouched(before)) >= 3
     assert not {f for f in before if f.startswith("day=d1")} & files(path)
@@ -149,6 +154,13 @@ def test_upsert_rewrites_the_partitions_that_it_touches(spark, tmp_path):
     assert spark.read.parquet(path).count() == 42 - 10 + 2
 
 
+def test_upsert_into_the_partition_without_a_value(spark, tmp_path):
+    path, shape = str(tmp_path / "t"), "k int, day string, v double"
+    V.upsert_partitions(spark.createDataFrame([(1, None, 1.0), (2, None, 1.0), (3, "d", 1.0)], shape), path, ["k"], ["day"])
+    V.upsert_partitions(spark.createDataFrame([(2, None, 5.0), (4, "d", 5.0)], shape), path, ["k"], ["day"])
+    assert sorted((r.k, r.day, r.v) for r in spark.read.parquet(path).collect()) == [(1, None, 1.0), (2, None, 5.0), (3, "d", 1.0), (4, "d", 5.0)]
+
+
 def test_upsert_by_buckets_of_the_key(spark, tmp_path):
     path = str(tmp_path / "t")
     table = lambda rows: spark.createDataFrame(rows, "k string, v int").withColumn("bucket", V.bucket_of(["k"], 8))
