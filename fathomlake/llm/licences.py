@@ -23,6 +23,8 @@ from pyspark.sql import Window as W
 from .common import cut, documents, written
 
 UNKNOWN_RATE, CONFIRM, FOLDS = 0.02, 0.6, 3
+#: N-grams whose weights are all smaller, either way, are left out of the model: common words speak for nothing.
+LEAST_WEIGHT = 0.4
 #: A paragraph gets a row if a family is so likely or more.
 LIKELY = 0.05
 #: A line end inside a paragraph.
@@ -152,7 +154,7 @@ def _fit(spark: SparkSession) -> tuple[list[tuple[str, list[float]]], list[float
     model = learner.fit(rows)
     rows.unpersist()
     weights = model.coefficientMatrix.toArray()
-    return [(g, weights[:, i].tolist()) for i, g in enumerate(vocabulary) if weights[:, i].any()], model.interceptVector.tolist(), least
+    return [(g, weights[:, i].tolist()) for i, g in enumerate(vocabulary) if abs(weights[:, i]).max() >= LEAST_WEIGHT], model.interceptVector.tolist(), least
 
 
 def telling(weights: list[tuple[str, list[float]]]) -> list[str]:
@@ -176,8 +178,10 @@ def scan(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     lines = texts.select("doc_id", F.posexplode(F.split(F.regexp_replace("text", WRAP, " "), "\n")).alias("paragraph", "line"))
     lines = lines.where(F.arrays_overlap(words_of(F.col("line")), F.array(*map(F.lit, telling(weights)))))
+    known = F.array_intersect(grams(F.col("line")), F.array(*[F.lit(g) for g, _ in weights]))
+    lines = lines.withColumn("grams", known).where(F.size("grams") > 0)
     # Written once, so that the rows keep their ids.
-    lines = cut(lines.withColumn("row", F.monotonically_increasing_id()), "paragraphs").withColumn("grams", grams(F.col("line")))
+    lines = cut(lines.withColumn("row", F.monotonically_increasing_id()), "paragraphs")
     # Both tables come from the statements in this file, so their size is bounded.
     table = F.broadcast(spark.createDataFrame(weights, "gram string, w array<double>"))
     hits = lines.select("row", "doc_id", "paragraph", F.explode("grams").alias("gram"))
@@ -190,7 +194,7 @@ def scan(docs: DataFrame) -> DataFrame:
     shapes = [(c, j, p) for c, texts in enumerate(templates().values(), 1) for j, p in enumerate(texts)]
     shapes = spark.createDataFrame(shapes, "class int, template int, text string").select("class", "template", F.explode(pairs(F.col("text"))).alias("gram"))
     shapes = shapes.withColumn("n", F.count("*").over(W.partitionBy("class", "template")))
-    asked = lines.select("row", F.explode("grams").alias("gram")).join(scored.select("row", "class"), "row")
+    asked = lines.select("row", "line").join(scored.select("row", "class"), "row").select("row", "class", F.explode(pairs(F.col("line"))).alias("gram"))
     held = asked.join(F.broadcast(shapes), ["class", "gram"]).groupBy("row", "template").agg((F.count("*") / F.first("n")).alias("share"))
     held = held.groupBy("row").agg(F.max("share").alias("share"))
     joined = scored.join(held, "row", "left")
