@@ -81,7 +81,7 @@ def normalize_us_facts(df: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
 
     Rows without a value (null or NaN) go, and so do those of ``us_fact_rejects``: a bad cell costs its row and not the batch. The
     key leaves out unit and dimension, so facts may share it; the last by ``order`` (columns of the stored layout) stays, of equals
-    the greatest by value, unit, label, year and period.
+    the greatest by value, unit, label, year, period and the three days.
     """
     from .series import latest_wins
 
@@ -90,7 +90,7 @@ def normalize_us_facts(df: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
     key = fact_key(*[F.col(c) for c in ("ticker", "accession_number", "concept", "period_start", "period_end", "period_instant")])
     days = [read[c].alias(c) for c in ("period_start", "period_end", "period_instant")]
     facts = good.select(key.alias("fact_id"), "accession_number", "ticker", "concept", "label", F.nullif(read["numeric_value"], F.lit(float("nan"))).alias("value"), F.col("unit_ref").alias("unit"), read["fiscal_year"].alias("fiscal_year"), "fiscal_period", *days)
-    ties = [c for c in ("value", "unit", "label", "fiscal_year", "fiscal_period") if c not in order]
+    ties = [c for c in ("value", "unit", "label", "fiscal_year", "fiscal_period", "period_start", "period_end", "period_instant") if c not in order]
     return latest_wins(facts.where("value is not null"), ["fact_id"], [*order, *ties])
 
 

@@ -104,8 +104,17 @@ def invalid_targets(inputs, defaults):
 # ---- filings and statements ----------------------------------------------------------------------------------------
 
 
-@query(f"SELECT md5(concat_ws('|', ticker, accession_number, concept, period_start, period_end, period_instant)) AS fact_id, accession_number, ticker, concept, label, {s4('CAST(numeric_value AS DOUBLE)')} AS value, unit_ref AS unit, CAST(fiscal_year AS INT) AS fiscal_year, fiscal_period, CAST(period_start AS DATE) AS period_start, CAST(period_end AS DATE) AS period_end, CAST(period_instant AS DATE) AS period_instant FROM us_facts WHERE numeric_value IS NOT NULL", "us_facts")
+#: Cells that are there and can't be read.
+_UNREAD = " OR ".join(f"({c} IS NOT NULL AND try_cast({c} AS {t}) IS NULL)" for c, t in D.US_CELLS.items())
+
+
+@query(f"""+f AS (SELECT md5(concat_ws('|', ticker, accession_number, concept, period_start, period_end, period_instant)) AS fact_id, accession_number, ticker, concept, label, CAST(numeric_value AS DOUBLE) AS value, unit_ref AS unit,
+        CAST(fiscal_year AS INT) AS fiscal_year, fiscal_period, CAST(period_start AS DATE) AS period_start, CAST(period_end AS DATE) AS period_end, CAST(period_instant AS DATE) AS period_instant
+        FROM us_facts WHERE numeric_value IS NOT NULL AND numeric_value <> 'NaN' AND NOT ({_UNREAD})),
+    r AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY value DESC, unit DESC NULLS LAST, label DESC NULLS LAST, fiscal_year DESC NULLS LAST, fiscal_period DESC NULLS LAST, period_start DESC NULLS LAST, period_end DESC NULLS LAST, period_instant DESC NULLS LAST) AS k FROM f)
+    SELECT fact_id, accession_number, ticker, concept, label, {s4('value')} AS value, unit, fiscal_year, fiscal_period, period_start, period_end, period_instant FROM r WHERE k = 1""", "us_facts")
 def normalize_us_facts(facts):
+    """One fact for each key; of those that share it the greatest stays."""
     return rounded(D.normalize_us_facts(facts), "value")
 
 

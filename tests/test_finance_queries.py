@@ -84,3 +84,16 @@ def test_scalars(spark):
     df = spark.createDataFrame([("72030", "btc-usd ", "1,234.5", "NetSalesTextBlock"), ("7203", "a b", "nan", None)], "code string, t string, n string, s string")
     got = df.select(X.normalize_jp_code(df.code), X.standardize_ticker(df.t), X.parse_number(df.n), X.normalize_section(df.s)).collect()
     assert [tuple(r) for r in got] == [("7203", "BTC", 1234.5, "net_sales"), ("7203", None, None, None)]
+
+
+def test_us_facts_that_share_a_key(spark, tmp_path):
+    """Two positions of one order, line and day are facts of one key: the greater one stays, in the query and in its SQL."""
+    day = datetime(1997, 5, 1)
+    rows = [(1, 1, 7, 1, 5.0, price, 0.0, 0.0, "N", "O", day) for price in (100.0, 300.0, 200.0)] + [(1, 1, 7, 2, 5.0, 50.0, 0.0, 0.0, "N", "O", day)]
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    mine = sorted((r.concept, r.value) for r in Q.QUERIES["normalize_us_facts"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    theirs = sorted(con.sql(f"SELECT concept, value FROM ({Q.ORACLE['normalize_us_facts']})").fetchall())
+    assert mine == theirs == [("us-gaap:Item1", 300.0), ("us-gaap:Item2", 50.0)]
