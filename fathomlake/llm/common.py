@@ -163,20 +163,41 @@ def partitions(spark: SparkSession) -> int:
 def connected_components(edges: DataFrame) -> DataFrame:
     """Label every vertex of ``edges(a, b)`` with the smallest vertex of its component: columns ``v, label``.
 
-    Minimum-label propagation with pointer jumping; each round is two joins on vertex ids and ends in a written
-    table, so the number of rounds follows the logarithm of the longest path. Null ends and loops link nothing.
+    Contraction: every vertex points to its smallest neighbour or itself, pointers are followed to their ends by doubling, and
+    the links between different ends, each once, are the graph of the next round. So a link is joined to the ends once, and
+    later rounds see only what is left; rounds and doublings follow the logarithm of the longest path. Each round ends in
+    written tables. Null ends and loops link nothing.
     """
-    pairs = edges.where("a <> b").select("a", "b")
-    both = cut(pairs.union(pairs.select("b", "a")).distinct(), "edges")
-    labels = cut(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
+    links = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels: DataFrame | None = None
     while True:
-        seen = labels.select(F.col("v").alias("b"), "label")
-        near = both.join(seen, "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("v").alias("label"), F.col("label").alias("up"))
-        after = cut(step.join(up, "label", "left").select("v", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
-        drop(labels)
-        labels = after
-        if after.where("label <> old").limit(1).count() == 0:
-            drop(both)
+        both = links.union(links.select("b", "a"))
+        ends = _ends(cut(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("low")).select("v", F.least("v", "low").alias("label")), "ends"))
+        a, b = (ends.select(F.col("v").alias(c), F.col("label").alias(f"{c}_end")) for c in ("a", "b"))
+        met = links.join(a, "a").join(b, "b").where("a_end <> b_end")
+        after = cut(met.select(F.least("a_end", "b_end").alias("a"), F.greatest("a_end", "b_end").alias("b")).distinct(), "edges")
+        if labels is None:
+            labels = ends
+        else:
+            up = cut(labels.join(_renamed(ends), "label", "left").select("v", F.coalesce("up", "label").alias("label")), "labels")
+            drop(labels, ends)
+            labels = up
+        drop(links)
+        links = after
+        if links.limit(1).count() == 0:
+            drop(links)
             return labels.select("v", "label")
+
+
+def _renamed(pointers: DataFrame) -> DataFrame:
+    return pointers.select(F.col("v").alias("label"), F.col("label").alias("up"))
+
+
+def _ends(pointers: DataFrame) -> DataFrame:
+    """The end of each chain of ``pointers(v, label)``, all of which point to a row of the table; written anew at each doubling."""
+    while True:
+        after = cut(pointers.join(_renamed(pointers), "label").select("v", F.col("label").alias("old"), F.col("up").alias("label")), "ends")
+        drop(pointers)
+        pointers = after
+        if pointers.where("label <> old").limit(1).count() == 0:
+            return pointers

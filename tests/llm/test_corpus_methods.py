@@ -25,6 +25,34 @@ def table(spark, rows):
 # ---- what the operators share ---------------------------------------------------------------------------------------
 
 
+def test_components_read_each_link_once(spark, monkeypatch):
+    """A dense group, a path in mixed order, loops, nulls and small groups: smallest vertices, by links that get fewer with each round."""
+    rng = random.Random(3)
+    path = [*range(1000, 1100)]
+    rng.shuffle(path)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(900)] + list(zip(path, path[1:], strict=False)) + [(i, i + 1) for i in range(2000, 2100)] + [(-5, 5000), (7000, 7000), (None, 1), (2, None)]
+    top = {v: v for p in pairs if None not in p and p[0] != p[1] for v in p}
+    find = lambda v: v if top[v] == v else find(top[v])
+    for a, b in pairs:
+        if a in top and b in top:
+            low, high = sorted((find(a), find(b)))
+            top[high] = low
+    sizes, plain = [], common.cut
+
+    def counted(df, label):
+        out = plain(df, label)
+        sizes.extend([out.count()] if label == "edges" else [])
+        return out
+
+    monkeypatch.setattr(common, "cut", counted)
+    with common.scratch(spark):
+        got = {r.v: r.label for r in common.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+        assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert got == {v: find(v) for v in top}
+    rounds = sizes[: sizes.index(0) + 1]
+    assert 2 <= len(rounds) <= 6 and all(b <= a / 2 for a, b in zip(rounds, rounds[1:], strict=False))
+
+
 def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
     class Conf:
         get = staticmethod(lambda key, default=None: default)
