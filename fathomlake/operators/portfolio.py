@@ -18,23 +18,28 @@ def positions(tx: DataFrame) -> DataFrame:
 
 
 def attach_price(pos: DataFrame, latest: DataFrame) -> DataFrame:
-    """The latest price, or the average cost where there is none or it is 0."""
-    return pos.join(latest.select("ticker", F.col("close").alias("_p")), "ticker", "left").withColumn("price", F.coalesce(F.nullif("_p", F.lit(0.0)), "avg_price")).drop("_p")
+    """The latest price, or the average cost where there is none or it is 0.
+
+    ``latest`` has a row for each ticker of the market and goes to all tasks; dealt by ticker, the positions would meet in a few.
+    """
+    return pos.join(F.broadcast(latest.select("ticker", F.col("close").alias("_p"))), "ticker", "left").withColumn("price", F.coalesce(F.nullif("_p", F.lit(0.0)), "avg_price")).drop("_p")
 
 
 def convert_currency(df: DataFrame, fx: DataFrame, value: str, target: str) -> DataFrame:
-    """``value`` from its currency by way of USD into ``target``; a missing or zero rate counts as 1."""
+    """``value`` from its currency by way of USD into ``target``; a missing or zero rate counts as 1.
+
+    ``fx`` has a row for each currency and goes to all tasks; dealt by currency, the rows would meet in a few."""
     rates = fx.select(F.col("symbol").alias("currency"), F.nullif("rate", F.lit(0.0)).alias("_r"))
     to = fx.where(F.col("symbol") == target).agg(F.coalesce(F.nullif(F.max("rate"), F.lit(0.0)), F.lit(1.0)).alias("_t"))
-    return df.join(rates, "currency", "left").crossJoin(F.broadcast(to)).withColumn("converted", F.col(value) * F.coalesce("_r", F.lit(1.0)) / F.col("_t")).drop("_r", "_t")
+    return df.join(F.broadcast(rates), "currency", "left").crossJoin(F.broadcast(to)).withColumn("converted", F.col(value) * F.coalesce("_r", F.lit(1.0)) / F.col("_t")).drop("_r", "_t")
 
 
 def asof_price(tx: DataFrame, px: DataFrame, tolerance_days: int = 5) -> DataFrame:
     """``px(date, price)`` of the trade date or the nearest day before it within the tolerance; 0 counts as missing.
 
-    Trades join their day by equality, so the join is hashed or merged and never loops, and no row needs an id.
+    Trades join their day by equality, so the join never loops, and no row needs an id; the days, one row each, go to all tasks.
     """
-    return tx.join(_near(px, tolerance_days), F.to_date(tx["timestamp"]) == F.col("_day")).drop("_day")
+    return tx.join(F.broadcast(_near(px, tolerance_days)), F.to_date(tx["timestamp"]) == F.col("_day")).drop("_day")
 
 
 def _near(px: DataFrame, tolerance_days: int) -> DataFrame:
@@ -71,7 +76,7 @@ def account_totals(tx: DataFrame, latest: DataFrame, px: DataFrame, fx: DataFram
     buy, sell = F.col("type") == "BUY", F.col("type") == "SELL"
     amount = F.when(buy, F.col("quantity") * F.col("price"))
     usd = convert_currency(tx.withColumn("currency", F.coalesce("currency", F.lit("USD"))).withColumn("amount", amount), fx, "amount", "USD")
-    seen = usd.join(_near(px, tolerance_days), F.to_date(usd["timestamp"]) == F.col("_day"), "left")
+    seen = usd.join(F.broadcast(_near(px, tolerance_days)), F.to_date(usd["timestamp"]) == F.col("_day"), "left")
     pos = seen.groupBy("account_id", "ticker", "asset_type", "currency").agg(
         F.sum(F.when(buy, F.col("quantity"))).alias("bought"), F.sum(F.col("amount") + F.col("fee")).alias("cost"), F.coalesce(F.sum(F.when(sell, F.col("quantity"))), F.lit(0.0)).alias("sold"),
         F.sum("converted").alias("usd"), F.sum(F.when(F.col("asof_price").isNotNull(), F.col("converted"))).alias("bcost"), F.sum(F.col("converted") / F.col("asof_price")).alias("units"))

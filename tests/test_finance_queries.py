@@ -1,6 +1,7 @@
 """Every finance query against its SQL, and hand-computed cases."""
 
 import math
+import re
 from datetime import date, datetime
 
 import duckdb
@@ -97,3 +98,18 @@ def test_us_facts_that_share_a_key(spark, tmp_path):
     con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     theirs = sorted(con.sql(f"SELECT concept, value FROM ({Q.ORACLE['normalize_us_facts']})").fetchall())
     assert mine == theirs == [("us-gaap:Item1", 300.0), ("us-gaap:Item2", 50.0)]
+
+
+def test_sides_of_few_keys_go_to_all_tasks(spark):
+    """Joins by currency, ticker or day deal nothing by those keys, whatever size Spark takes the small side to have."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = Q.QUERIES["alpha_metrics"](spark, SF)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    dealt = re.findall(r"Exchange hashpartitioning\((\w+?)#\d+, \d+\), ENSURE", plan)
+    joined = re.findall(r"(?:SortMergeJoin|ShuffledHashJoin).*", plan)
+    assert dealt and not any(re.search(r"\[(?:currency|ticker|_day|cast\(timestamp)", j) for j in joined)
