@@ -201,19 +201,20 @@ def read_since(fx):
 # ---- streams --------------------------------------------------------------------------------------------------------
 
 
-def _stream(df, order: str, files: int = 3):
-    """``df`` as a stream of a few files, one in each micro-batch; ``order``: the column that deals the rows."""
+def _streamed(df, order: str, run, loads: int = 3) -> None:
+    """``df`` as a stream of a few loads, each a micro-batch: ``run(stream)`` starts anew for each and goes on from its checkpoint.
+    ``order``: the column that deals the rows to loads. A load has as many files as tasks wrote it."""
     spark, path = df.sparkSession, f"{new_folder(df.sparkSession)}/in"
-    for k in range(files):
-        df.where(F.pmod(F.xxhash64(order), F.lit(files)) == k).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for k in range(loads):
+        df.where(F.pmod(F.xxhash64(order), F.lit(loads)) == k).write.mode("append").parquet(path)
+        run(spark.readStream.schema(df.schema).parquet(path)).awaitTermination()
 
 
 @query(f"SELECT symbol, date, {s4('rate')} AS rate FROM ({_LAST})", "fx_load")
 def stream_upsert(fx):
     """The last write of each key over all micro-batches. Loads of a day come in order, in batches of their own or one."""
     spark, root = fx.sparkSession, new_folder(fx.sparkSession)
-    I.stream_upsert(_stream(fx, "date"), f"{root}/t", ["symbol", "date"], ["load_timestamp"], f"{root}/cp").awaitTermination()
+    _streamed(fx, "date", lambda stream: I.stream_upsert(stream, f"{root}/t", ["symbol", "date"], ["load_timestamp"], f"{root}/cp"))
     return rounded(I.read_upserted(spark, f"{root}/t", ["symbol", "date"]).select("symbol", "date", "rate"), "rate")
 
 
@@ -225,7 +226,7 @@ def stream_outcomes(w):
     """One final outcome for each order, whose positions come in several micro-batches."""
     root = new_folder(w.sparkSession)
     rules = {"quantity": "l_quantity >= 10", "discount": "l_discount < 0.08"}
-    I.stream_outcomes(_stream(w, "l_extendedprice"), root, rules, "code", f"{root}/cp").awaitTermination()
+    _streamed(w, "l_extendedprice", lambda stream: I.stream_outcomes(stream, root, rules, "code", f"{root}/cp"))
     return I.read_outcomes(w.sparkSession, root, "code").select("code", "n_ok", "n_rejected", "status")
 
 
@@ -233,7 +234,7 @@ def stream_outcomes(w):
 def stream_ingest(w):
     """Accepted rows of each order; the rejects are kept apart."""
     root = new_folder(w.sparkSession)
-    I.stream_ingest(_stream(w, "code"), root, {"quantity": "l_quantity >= 10"}, "code", f"{root}/cp").awaitTermination()
+    _streamed(w, "code", lambda stream: I.stream_ingest(stream, root, {"quantity": "l_quantity >= 10"}, "code", f"{root}/cp"))
     return w.sparkSession.read.parquet(f"{root}/accepted").groupBy("code").agg(F.count("*").alias("n_accepted"))
 
 

@@ -95,3 +95,23 @@ def test_sections(spark):
     assert {r.id: r.sections for r in got.collect()} == {1: {"business": "## Item 1. Business\n\nWe sell.", "risk_factors": "## ITEM 1A. Risk Factors\n\nRisk.", "signatures": "## Signatures\n\nS."}, 2: {}}
     rows = spark.createDataFrame([("BusinessRisksTextBlock", "<p>A text that is long enough.</p>"), ("X", "short")], "tag string, text string")
     assert [(r.section_name, r.content_md) for r in M.narrative_blocks(rows, "tag", "text").collect()] == [("business_risk", "A text that is long enough.")]
+
+
+def test_no_task_writes_a_whole_load(spark, monkeypatch):
+    """The loads of a streamed query are written by as many tasks as the rows have, in three micro-batches."""
+    from pyspark.sql import functions as F
+
+    from fathomlake.plans import lake_queries as K
+
+    df = spark.range(0, 4000, numPartitions=4).selectExpr("id as code", "id % 7 as v")
+    seen = []
+
+    def run(stream):
+        def write(batch, k):
+            seen.append((k, batch.count(), batch.select(F.input_file_name()).distinct().count()))
+
+        return stream.writeStream.foreachBatch(write).option("checkpointLocation", place).trigger(availableNow=True).start()
+
+    place = f"{K.new_folder(spark)}/cp"
+    K._streamed(df, "code", run)
+    assert [k for k, *_ in seen] == [0, 1, 2] and sum(n for _, n, _ in seen) == 4000 and all(files == 4 for *_, files in seen)
