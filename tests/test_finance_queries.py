@@ -113,3 +113,11 @@ def test_sides_of_few_keys_go_to_all_tasks(spark):
     dealt = re.findall(r"Exchange hashpartitioning\((\w+?)#\d+, \d+\), ENSURE", plan)
     joined = re.findall(r"(?:SortMergeJoin|ShuffledHashJoin).*", plan)
     assert dealt and not any(re.search(r"\[(?:currency|ticker|_day|cast\(timestamp)", j) for j in joined)
+
+
+def test_positions_meet_their_orders_in_tasks_of_a_size(spark):
+    """Adaptive execution joins small partitions to larger ones again; those of the meeting stay as many as they were made."""
+    df = Q.QUERIES["positions"](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert re.search(r"hashpartitioning\(l_orderkey#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan) and int(re.search(r"hashpartitioning\(l_orderkey#\d+L?, (\d+)\)", plan)[1]) >= 8
