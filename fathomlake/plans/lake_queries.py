@@ -101,15 +101,15 @@ def _zipped(batches):
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(out, pa.binary())], ["path", "content"])
 
 
-def _archives(w):
-    """An archive for each order, with a line of nine cells for each of its positions and one that holds no number."""
+def _archives(w, part: str = ""):
+    """The rows, of all members or those named by ``part``, of an archive for each order, with a line of nine cells for each of its positions and one that holds no number."""
     cell = F.concat_ws("\t", F.lit("id"), F.concat(F.lit("item"), "fiscal_period"), F.concat(F.lit("ctx"), "code"), F.lit("d"), F.lit("e"), F.lit("f"), F.lit("g"), F.lit("JPY"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"))
     bad = F.concat_ws("\t", *[F.lit(x) for x in ("id", "text", "c", "d", "e", "f", "g", "h", "no number")])
     lines = F.concat(F.array_join(F.array_sort(F.collect_list(cell)), "\n"), F.lit("\n"), bad)
     day = F.when(F.col("code") % 5 > 0, F.date_format(F.max("disclosed_date"), "yyyy-MM-dd")).otherwise("no day")
     dei = F.concat(F.lit("jpdei_cor:CurrentFiscalYearEndDateDEI"), F.repeat(F.lit("\t"), F.lit(8)), day)
     orders = w.groupBy("code").agg(lines.alias("facts"), dei.alias("dei"))
-    return L.archive_rows(orders.select("code", "facts", "dei").mapInArrow(_zipped, "path string, content binary"))
+    return L.archive_rows(orders.select("code", "facts", "dei").mapInArrow(_zipped, "path string, content binary"), part)
 
 
 @query(f"SELECT concat('S', code) AS doc_id, concat('item', fiscal_period) AS item_name, {s4('CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS DOUBLE)')} AS item_value, 'JPY' AS unit, concat('ctx', code) AS context_id, 'FY' AS fiscal_period FROM facts_wide", "facts_wide")
@@ -121,7 +121,7 @@ def edinet_facts(w):
 def fiscal_year(w):
     """Of the end date in the archive's DEI member, or else of the submission."""
     filings = w.select(F.concat(F.lit("S"), "code").alias("doc_id")).distinct().withColumn("submitted", F.lit("2050-06-01").cast("date"))
-    return D.fiscal_year(_archives(w), filings)
+    return D.fiscal_year(_archives(w, "jpdei"), filings)
 
 
 # ---- markup ---------------------------------------------------------------------------------------------------------

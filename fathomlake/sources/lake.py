@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import zipfile
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -156,7 +157,7 @@ def _text(raw: bytes) -> str:
         return raw.decode("cp932", "replace")
 
 
-def _members(batches):
+def _members(batches, part: str = ""):
     names = ["path", "file_name", "line", "width", *CELLS]
 
     def flush(held):
@@ -173,7 +174,7 @@ def _members(batches):
                 archive = zipfile.ZipFile(io.BytesIO(raw))
             except zipfile.BadZipFile:
                 continue
-            for name in sorted(n for n in archive.namelist() if n.lower().endswith(".csv")):
+            for name in sorted(n for n in archive.namelist() if n.lower().endswith(".csv") and part in n.lower()):
                 text = _text(archive.read(name))
                 head = text.partition("\n")[0]
                 lines = csv.reader(io.StringIO(text), delimiter="\t" if "\t" in head else ",")
@@ -187,13 +188,14 @@ def _members(batches):
     yield flush(held)
 
 
-def archive_rows(files: DataFrame) -> DataFrame:
+def archive_rows(files: DataFrame, part: str = "") -> DataFrame:
     """``path, file_name, line, width, c0..c8`` of the CSV members of the ZIP files ``files(path, content)``.
 
     The first line of a member, and lines with more cells than it, are left out; files that are no archives give no rows.
-    A task holds one archive at a time, and gives out its lines in batches.
+    ``part``: only members whose name has it, in lower case, are read. A task holds one archive at a time, and gives out its
+    lines in batches.
     """
-    return files.select("path", "content").mapInArrow(_members, f"path string, file_name string, line int, width int, {', '.join(f'{c} string' for c in CELLS)}")
+    return files.select("path", "content").mapInArrow(partial(_members, part=part), f"path string, file_name string, line int, width int, {', '.join(f'{c} string' for c in CELLS)}")
 
 
 def read_filing_archives(spark: SparkSession, path: str) -> DataFrame:

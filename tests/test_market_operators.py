@@ -100,3 +100,11 @@ def test_allocation_inputs_and_targets(spark):
     defaults = spark.createDataFrame([("INDEX", 0.6), ("CRYPTO", 0.4)], "category string, ratio double")
     own = spark.createDataFrame([(1, "INDEX", 0.5)], "account_id int, category string, ratio double")
     assert sorted(map(tuple, A.targets(defaults, own, wide).collect())) == [(1, "CRYPTO", 0.4), (1, "INDEX", 0.5), (2, "CRYPTO", 0.4), (2, "INDEX", 0.6)]
+
+
+def test_only_named_members_of_an_archive_are_read(spark):
+    from fathomlake.plans import lake_queries as K
+
+    w = spark.createDataFrame([(1, 1, 5.0, date(2020, 3, 1)), (1, 2, 6.0, date(2021, 3, 1))], "code long, fiscal_period int, l_extendedprice double, disclosed_date date")
+    assert {r.file_name for r in K._archives(w).collect()} == {"XBRL_TO_CSV/jpcrp-1.csv", "XBRL_TO_CSV/jpdei.csv"}
+    assert [(r.file_name, r.c8) for r in K._archives(w, "jpdei").collect()] == [("XBRL_TO_CSV/jpdei.csv", "2021-03-01")]
