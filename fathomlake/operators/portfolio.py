@@ -143,7 +143,8 @@ def daily_values(px: DataFrame, pos: DataFrame, dates: DataFrame, order: tuple[s
 
     Days are cut into blocks of ``DAYS``, and a ticker's closes of a block are the columns of one row. A holding meets them once
     for each block, and the sums of an account are kept column by column, with partial sums, so that no list of holdings is
-    built. Holdings are dealt by account beforehand, three numbers a row; where the closes are small, which adaptive execution
+    built. Holdings are dealt by account beforehand, three numbers a row, to twice the session's shuffle partitions, which adaptive
+    execution doesn't join, since each account becomes a row for each day; where the closes are small, which adaptive execution
     sees from what it has written, they go to the holdings, and the sums need no further exchange.
     """
     days = dates.select("date").where("date is not null").distinct().agg(F.sort_array(F.collect_list("date")).alias("days")).select(F.posexplode("days").alias("place", "date"))
@@ -151,7 +152,7 @@ def daily_values(px: DataFrame, pos: DataFrame, dates: DataFrame, order: tuple[s
     close = F.max_by("close", F.struct(*order, "close")) if order else F.max("close")
     one = px.where("close is not null").join(F.broadcast(days), "date").groupBy("ticker", "block", "slot").agg(close.alias("close"))
     wide = one.groupBy("ticker", "block").agg(*[F.sum(F.when(F.col("slot") == i, F.col("close"))).alias(f"c{i}") for i in range(DAYS)])
-    held = pos.where("quantity is not null").select("account_id", "ticker", "quantity").repartition("account_id")
+    held = pos.where("quantity is not null").select("account_id", "ticker", "quantity").repartition(2 * int(pos.sparkSession.conf.get("spark.sql.shuffle.partitions")), "account_id")
     sums = held.join(wide, "ticker").groupBy("account_id", "block").agg(*[F.sum(F.col("quantity") * F.col(f"c{i}")).alias(f"c{i}") for i in range(DAYS)])
     each = sums.select("account_id", "block", F.posexplode(F.array(*[f"c{i}" for i in range(DAYS)])).alias("slot", "value")).where("value > 0")
     return each.join(F.broadcast(days), ["block", "slot"]).select("account_id", "date", "value")

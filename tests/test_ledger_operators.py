@@ -57,3 +57,11 @@ def test_splits_rates_and_batches(spark):
     batch = spark.createDataFrame([(1, "x"), (1, "y"), (None, "z")], "Code int, v string")
     assert [r.code for r in D.companies_in_batch(batch).collect()] == ["1"]
     assert [r[0] for r in batch.select(X.normalize_jp_code(F.lit(" 72030 "), ".T")).limit(1).collect()] == ["7203.T"]
+
+
+def test_accounts_are_dealt_before_their_days(spark):
+    """Every account gets a row for each day, so small partitions of accounts are not joined to larger ones before."""
+    px = spark.createDataFrame([("A", date(2024, 1, d), 2.0) for d in (1, 2)], "ticker string, date date, close double")
+    pos = spark.range(100).selectExpr("id as account_id", "'A' as ticker", "1.0D as quantity")
+    df = P.daily_values(px, pos, px.select("date"))
+    assert df.count() == 200 and df._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") >= 1
