@@ -41,7 +41,7 @@ def route_source(ticker: Column, asset_type: Column) -> Column:
 
 def parse_number(c: Column) -> Column:
     """A number written with thousands separators; null for anything else."""
-    bare = F.trim(F.regexp_replace(c, ",", ""))
+    bare = F.trim(F.replace(c, F.lit(","), F.lit("")))
     return F.when(bare.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), bare.try_cast("double"))
 
 

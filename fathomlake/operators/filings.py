@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fact_key, parse_number, zero_pad
@@ -178,16 +178,23 @@ def resolve_metadata(index: DataFrame, submissions: DataFrame) -> DataFrame:
     return index.join(rows.withColumn("accession_number", plain).drop("form"), ["cik", "accession_number"], "left")
 
 
+def _document(path: str = "path") -> Column:
+    """The name of a file without its .zip; empty for other files."""
+    name = F.substring_index(path, "/", -1)
+    return F.when(name.endswith(".zip"), F.substring(name, F.lit(1), F.length(name) - 4)).otherwise("")
+
+
 def edinet_facts(rows: DataFrame) -> DataFrame:
     """Rows of ``read_filing_archives`` to facts; lines without a number go.
 
     Value: the ninth cell, or the last of narrower files. Name: the second cell. Unit: the eighth, else pure. Context:
     the third, else the file's name.
     """
-    cells = [F.col(f"c{i}") for i in range(9)]
-    value = F.get(F.array(*cells), F.least("width", F.lit(9)) - 1)
+    value = F.when(F.col("width") >= 9, F.col("c8"))
+    for i in range(8):
+        value = value.when(F.col("width") == i + 1, F.col(f"c{i}"))
     facts = rows.select(
-        F.regexp_extract("path", r"([^/]+)\.zip$", 1).alias("doc_id"), F.when(F.col("width") >= 2, F.col("c1")).otherwise(F.col("c0")).alias("item_name"), parse_number(value).alias("item_value"),
+        _document().alias("doc_id"), F.when(F.col("width") >= 2, F.col("c1")).otherwise(F.col("c0")).alias("item_name"), parse_number(value).alias("item_value"),
         F.when(F.col("width") >= 8, F.col("c7")).otherwise("pure").alias("unit"), F.when(F.col("width") >= 3, F.col("c2")).otherwise(F.col("file_name")).alias("context_id"), F.lit("FY").alias("fiscal_period"))
     return facts.where("item_value is not null")
 
@@ -195,7 +202,7 @@ def edinet_facts(rows: DataFrame) -> DataFrame:
 def fiscal_year(rows: DataFrame, filings: DataFrame) -> DataFrame:
     """``doc_id, fiscal_year``: of the end date in the document's DEI file, else of ``submitted``."""
     dei = rows.where(F.lower("file_name").contains("jpdei") & F.col("c0").contains("CurrentFiscalYearEndDateDEI"))
-    first = dei.groupBy(F.regexp_extract("path", r"([^/]+)\.zip$", 1).alias("doc_id"), "file_name").agg(F.min_by("c8", "line").alias("end"))
+    first = dei.groupBy(_document().alias("doc_id"), "file_name").agg(F.min_by("c8", "line").alias("end"))
     year = first.withColumn("y", F.year(F.col("end").try_cast("date"))).where("y is not null").groupBy("doc_id").agg(F.min_by("y", "file_name").alias("y"))
     return filings.join(year, "doc_id", "left").select("doc_id", F.coalesce("y", F.year("submitted")).alias("fiscal_year"))
 

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -13,8 +10,10 @@ from ..operators import filings as D
 from ..operators import markup as M
 from ..sources import lake as L
 from ..sources import versions as V
+from ..sources import zips as Z
 from ..sources.scratch import new_folder
 from ..streaming import ingest as I
+from .bindings import MEETING
 from .queries import query, rounded, s4
 
 # ---- series, indexes, directories, manifests ------------------------------------------------------------------------
@@ -87,29 +86,42 @@ def register_lake(r, facts, texts):
 
 
 def _zipped(batches):
-    """Rows (doc_id, facts, dei) to an archive each: two members, one in UTF-16 and one in UTF-8."""
+    """Lines (code, cell, day) in the order of their codes to an archive each: two members, one in UTF-16 and one in UTF-8."""
+    head, bad = "a\tb\tc\td\te\tf\tg\th\ti\n", "id\ttext\tc\td\te\tf\tg\th\tno number"
+
+    def archive(code, cells, days):
+        day = max((d for d in days if d), default="") if code % 5 > 0 else "no day"
+        facts = "\n".join([*sorted(cells), bad])
+        dei = "jpdei_cor:CurrentFiscalYearEndDateDEI" + "\t" * 8 + day
+        return Z.stored(((f"XBRL_TO_CSV/jpcrp-{code}.csv", f"{head}{facts}\n".encode("utf-16")), ("XBRL_TO_CSV/jpdei.csv", f"{head}{dei}\n".encode()), ("note.txt", b"no")))
+
+    code, cells, days = None, [], []  # of the order that the last batch may have cut
     for batch in batches:
-        out = []
-        for doc, facts, dei in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            held = io.BytesIO()
-            with zipfile.ZipFile(held, "w") as z:
-                z.writestr(f"XBRL_TO_CSV/jpcrp-{doc}.csv", f"a\tb\tc\td\te\tf\tg\th\ti\n{facts}\n".encode("utf-16"))
-                z.writestr("XBRL_TO_CSV/jpdei.csv", f"a\tb\tc\td\te\tf\tg\th\ti\n{dei}\n".encode())
-                z.writestr("note.txt", "no")
-            out.append(held.getvalue())
-        paths = [f"archives/S{doc}.zip" for doc in batch.column(0).to_pylist()]
+        paths, out = [], []
+        for c, cell, day in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if c != code:
+                if cells:
+                    paths.append(f"archives/S{code}.zip")
+                    out.append(archive(code, cells, days))
+                code, cells, days = c, [], []
+            cells.append(cell)
+            days.append(day)
         yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(out, pa.binary())], ["path", "content"])
+    if cells:
+        yield pa.RecordBatch.from_arrays([pa.array([f"archives/S{code}.zip"]), pa.array([archive(code, cells, days)], pa.binary())], ["path", "content"])
 
 
 def _archives(w, part: str = ""):
-    """The rows, of all members or those named by ``part``, of an archive for each order, with a line of nine cells for each of its positions and one that holds no number."""
+    """The rows, of all members or those named by ``part``, of an archive for each order, with a line of nine cells for each of its positions and one that holds no number.
+
+    Positions are dealt to a number of tasks that grows with the files and sorted there, so that the lines of an order follow each other;
+    their few bytes make much work, so adaptive execution shall not join the tasks.
+    """
+    tasks = max(int(w.sparkSession.conf.get("spark.sql.shuffle.partitions")), MEETING * w.rdd.getNumPartitions())
+    near = w.select("code", "fiscal_period", "l_extendedprice", "disclosed_date").where("code is not null").repartition(tasks, "code").sortWithinPartitions("code")
     cell = F.concat_ws("\t", F.lit("id"), F.concat(F.lit("item"), "fiscal_period"), F.concat(F.lit("ctx"), "code"), F.lit("d"), F.lit("e"), F.lit("f"), F.lit("g"), F.lit("JPY"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"))
-    bad = F.concat_ws("\t", *[F.lit(x) for x in ("id", "text", "c", "d", "e", "f", "g", "h", "no number")])
-    lines = F.concat(F.array_join(F.array_sort(F.collect_list(cell)), "\n"), F.lit("\n"), bad)
-    day = F.when(F.col("code") % 5 > 0, F.date_format(F.max("disclosed_date"), "yyyy-MM-dd")).otherwise("no day")
-    dei = F.concat(F.lit("jpdei_cor:CurrentFiscalYearEndDateDEI"), F.repeat(F.lit("\t"), F.lit(8)), day)
-    orders = w.groupBy("code").agg(lines.alias("facts"), dei.alias("dei"))
-    return L.archive_rows(orders.select("code", "facts", "dei").mapInArrow(_zipped, "path string, content binary"), part)
+    lines = near.select("code", cell.alias("cell"), F.date_format("disclosed_date", "yyyy-MM-dd").alias("day"))
+    return L.archive_rows(lines.mapInArrow(_zipped, "path string, content binary"), part)
 
 
 @query(f"SELECT concat('S', code) AS doc_id, concat('item', fiscal_period) AS item_name, {s4('CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS DOUBLE)')} AS item_value, 'JPY' AS unit, concat('ctx', code) AS context_id, 'FY' AS fiscal_period FROM facts_wide", "facts_wide")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import csv
 import io
-import zipfile
 from functools import partial
 
 import pyarrow as pa
@@ -14,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.scalars import accession
 from ..operators.series import latest_wins
+from .zips import csv_members
 
 #: Columns of the members of an archive; further cells of a line are left out.
 CELLS = [f"c{i}" for i in range(9)]
@@ -159,29 +159,26 @@ def _text(raw: bytes) -> str:
 
 def _members(batches, part: str = ""):
     names = ["path", "file_name", "line", "width", *CELLS]
+    kinds = [pa.int32() if n in ("line", "width") else pa.string() for n in names]
+    missing = [[None] * (len(CELLS) - n) for n in range(len(CELLS))]
 
     def flush(held):
-        cells = [pa.array([row[i] for row in held], pa.int32() if n in ("line", "width") else pa.string()) for i, n in enumerate(names)]
-        return pa.RecordBatch.from_arrays(cells, names)
+        columns = zip(*held, strict=True) if held else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     held: list[list] = []
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            raw = content.as_py() or b""
-            if raw[:4] != b"PK\x03\x04":
-                continue
-            try:
-                archive = zipfile.ZipFile(io.BytesIO(raw))
-            except zipfile.BadZipFile:
-                continue
-            for name in sorted(n for n in archive.namelist() if n.lower().endswith(".csv") and part in n.lower()):
-                text = _text(archive.read(name))
-                head = text.partition("\n")[0]
-                lines = csv.reader(io.StringIO(text), delimiter="\t" if "\t" in head else ",")
+            for name, data in csv_members(content.as_py() or b"", part):
+                text = _text(data)
+                sep = "\t" if "\t" in text[: text.find("\n") + 1 or None] else ","
+                # Without quotes and returns a reader would part the lines in the same way, in six times the time.
+                plain = '"' not in text and "\r" not in text
+                lines = (line.split(sep) if line else [] for line in text.split("\n")) if plain else csv.reader(io.StringIO(text), delimiter=sep)
                 width = len(next(lines, []))
                 for i, cells in enumerate(lines):
-                    if cells and len(cells) <= width:
-                        held.append([path, name, i, width, *(cells + [None] * len(CELLS))[: len(CELLS)]])
+                    if cells and (n := len(cells)) <= width:
+                        held.append([path, name, i, width, *(cells + missing[n] if n < len(CELLS) else cells[: len(CELLS)])])
                     if len(held) >= _ROWS:
                         yield flush(held)
                         held = []

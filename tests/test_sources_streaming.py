@@ -4,6 +4,8 @@ import io
 import zipfile
 from datetime import date
 
+import pytest
+
 from fathomlake.operators import markup as M
 from fathomlake.operators import statements as T
 from fathomlake.sources import lake as L
@@ -48,6 +50,58 @@ def test_filing_archives(spark, tmp_path):
     assert got == [("XBRL/a.csv", 0, "x", "売上", None), ("XBRL/a.csv", 2, "y", "1", None), ("b.csv", 0, "カ", "2", None)]
 
 
+def test_small_plain_archives_need_no_zipfile(monkeypatch):
+    """Stored and deflated members are read as zipfile reads them; archives with a comment or a member that repeats are left to it."""
+    from fathomlake.sources import zips as Z
+
+    def archive(method=zipfile.ZIP_STORED, comment=b""):
+        buffer = io.BytesIO()
+        with zipfile.ZipFile(buffer, "w", method) as z:
+            z.writestr("x/b.CSV", "h\ti\n" + "値\t2\n" * 50)
+            z.writestr("a.csv", "h,i\n\"1,5\",2\n")
+            z.writestr("ö.csv", "")
+            z.writestr("note.txt", "no")
+            z.comment = comment
+        return buffer.getvalue()
+
+    want = [("a.csv", b'h,i\n"1,5",2\n'), ("x/b.CSV", ("h\ti\n" + "値\t2\n" * 50).encode()), ("ö.csv", b"")]
+    assert list(Z.csv_members(archive(comment=b"of 2024"))) == want
+    made = Z.stored([("q.csv", b"1"), ("a.csv", b"")])
+    with zipfile.ZipFile(io.BytesIO(made)) as z:
+        assert z.testzip() is None and {n: z.read(n) for n in z.namelist()} == {"q.csv": b"1", "a.csv": b""}
+    hurt = made.replace(b"q.csv1", b"q.csv2")
+    with pytest.raises(zipfile.BadZipFile):
+        list(Z.csv_members(hurt))
+    assert list(Z.csv_members(made[:-5])) == [] and list(Z.csv_members(b"")) == []
+
+    plain = [archive(), archive(zipfile.ZIP_DEFLATED)]
+
+    def never(*_):
+        raise AssertionError("zipfile")
+
+    monkeypatch.setattr(zipfile, "ZipFile", never)
+    for raw in plain:
+        assert list(Z.csv_members(raw)) == want
+    assert list(Z.csv_members(made)) == [("a.csv", b""), ("q.csv", b"1")] and list(Z.csv_members(made, "q")) == [("q.csv", b"1")]
+
+
+def test_archives_of_orders_that_batches_cut(spark):
+    """Positions are sorted and not collected, and an order whose lines lie in several batches has one archive with all of them."""
+    from fathomlake.plans import lake_queries as K
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        w = spark.range(40).selectExpr("id div 4 as code", "cast(id % 4 as int) as fiscal_period", "cast(id as double) as l_extendedprice", "date_add(date'2020-01-01', cast(id as int)) as disclosed_date")
+        rows = K._archives(w)
+        assert "collect_list" not in rows._jdf.queryExecution().executedPlan().toString()
+        got = rows.where("c7 = 'JPY'").groupBy("path", "width").count().collect()
+        assert sorted(r.path for r in got) == sorted(f"archives/S{k}.zip" for k in range(10)) and {(r.width, r["count"]) for r in got} == {(9, 4)}
+        assert {(r.path, r.c8) for r in rows.where("file_name like '%jpdei.csv' and path like '%S3.zip'").collect()} == {("archives/S3.zip", "2020-01-16")}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_stream_upsert_and_ingest(spark, tmp_path):
     source, shape = str(tmp_path / "in"), "doc string, seq int, value double"
     stream = lambda: spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(source)
