@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import partial
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -15,6 +16,8 @@ from ..functions.scalars import clean_text, normalize_section
 #: Tags that are left out whole, and tags without an end.
 NOISE = {"script", "style", "head", "title", "meta", "link"}
 VOID = {"br", "meta", "link", "img", "hr", "input", "area", "base", "col", "embed", "source", "track", "wbr"}
+#: Rows that are converted at a time.
+SLICE = 64
 #: The heading that begins each section of a form, in the order of the form.
 SECTIONS = {
     "10-K": {
@@ -104,19 +107,22 @@ def to_markdown(html: str | None) -> str:
     return parser.text()
 
 
+def _converted(batches, html: str, out: str):
+    """The batches with one more column, in slices of a few rows, so that a task holds what it was given and few texts of its own."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            few = batch.slice(at, SLICE)
+            made = pa.array([to_markdown(x.as_py()) for x in few.column(html)], pa.string())
+            yield pa.RecordBatch.from_arrays([*few.columns, made], [*few.schema.names, out])
+
+
 def html_to_markdown(df: DataFrame, html: str, out: str = "markdown") -> DataFrame:
     """``df`` and the Markdown of its column ``html`` (null: empty) as a new column ``out``: headings, emphasis, breaks, paragraphs and tables.
 
     Comments, scripts, styles and heads are left out; end tags without a beginning are ignored; tags that stay open end
     with the tag around them. Nesting can't be said with patterns, so Arrow batches of texts go through a parser.
     """
-
-    def run(batches):
-        for batch in batches:
-            made = pa.array([to_markdown(x) for x in batch.column(html).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, out])
-
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, StringType())]))
+    return df.mapInArrow(partial(_converted, html=html, out=out), StructType([*df.schema.fields, StructField(out, StringType())]))
 
 
 def sections(markdown: Column, form: str) -> Column:

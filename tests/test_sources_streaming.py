@@ -143,6 +143,21 @@ def test_markdown():
     assert M.to_markdown(None) == "" and M.to_markdown("a < b") == "a < b"
 
 
+def test_few_texts_are_held_while_they_are_converted(monkeypatch):
+    """A batch of many rows is given out in slices, each before the next is converted."""
+    import pyarrow as pa
+
+    done = []
+    plain = M.to_markdown
+    monkeypatch.setattr(M, "to_markdown", lambda x: done.append(x) or plain(x))
+    texts = [None, *(f"<b>{i}</b>" for i in range(999))]
+    seen = []
+    for part in M._converted(iter([pa.RecordBatch.from_pydict({"id": list(range(1000)), "html": texts})]), "html", "md"):
+        assert len(done) - len(seen) <= M.SLICE
+        seen += part.to_pylist()
+    assert [(r["id"], r["md"]) for r in seen] == [(0, ""), *((i, f"**{i - 1}**") for i in range(1, 1000))]
+
+
 def test_sections(spark):
     html = "<p>[Item 1. Business](#a)</p><h2>Item 1. Business</h2><p>We sell.</p><h2>ITEM 1A. Risk Factors</h2><p>Risk.</p><h2>Signatures</h2><p>S.</p>"
     got = M.extract_sections(spark.createDataFrame([(1, html), (2, None)], "id int, html string"), "html", "10-K")
