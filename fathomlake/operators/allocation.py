@@ -12,7 +12,14 @@ def category_drift(holdings: DataFrame, targets: DataFrame, threshold: float = 0
     sums = holdings.groupBy("account_id", "category").agg(F.sum("value").alias("current"))
     grid = sums.select("account_id").distinct().crossJoin(F.broadcast(targets))
     full = grid.join(sums, ["account_id", "category"], "left").withColumn("current", F.coalesce("current", F.lit(0.0)))
-    full = full.withColumn("total", F.sum("current").over(W.partitionBy("account_id")))
+    return with_drift(full, threshold)
+
+
+def with_drift(grid: DataFrame, threshold: float = 0.02) -> DataFrame:
+    """``grid(account_id, category, ratio, current)``, a row for each account and target category, with total, target, drift and status.
+    Sums of doubles depend on their order, so the total is taken in the order of the categories."""
+    whole = W.partitionBy("account_id").orderBy("category").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    full = grid.withColumn("total", F.sum("current").over(whole))
     share = F.coalesce(F.try_divide("current", "total"), F.lit(0.0)) - F.col("ratio")
     status = F.when(share > threshold, "OVER").when(share < -threshold, "UNDER").otherwise("OK")
     return full.withColumn("target", F.col("total") * F.col("ratio")).withColumn("drift", F.col("current") - F.col("target")).withColumn("drift_ratio", share).withColumn("status", status)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.scalars import CURRENCY_SYMBOLS
 from .series import daily_returns, max_drawdown, risk_metrics
@@ -102,34 +103,49 @@ def money(c: Column | str, symbol: str = "¥") -> Column:
 
 def percent(c: Column) -> Column:
     tenths = F.floor(c * 1000 + 0.500001).cast("long")
-    return F.concat((tenths / 10).cast("decimal(20,1)").cast("string"), F.lit("%"))
+    size = F.abs(tenths)
+    return F.concat(F.when(tenths < 0, "-").otherwise(""), F.floor(size / 10).cast("string"), F.lit("."), (size % 10).cast("string"), F.lit("%"))
 
 
-def _lines(keys: list[str], line: Column, name: str) -> Column:
-    """The lines of a group in the order of ``keys``, as one text; none of null."""
-    held = F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct(*keys, line.alias("t")))))
-    return F.array_join(F.transform(held, lambda x: x["t"]), "\n").alias(name)
+def _joined(lines: Column) -> Column:
+    """An array of structs that end with a line ``t``, in their order, as one text; none of null."""
+    return F.array_join(F.transform(F.array_sort(F.filter(lines, lambda x: x["t"].isNotNull())), lambda x: x["t"]), "\n")
 
 
-def allocation_markdown(plan: DataFrame, assets: DataFrame, buys: DataFrame, currency: str = "JPY") -> DataFrame:
-    """One Markdown document an account: summary, categories against targets, assets, and what to buy of which asset.
+def allocation_markdown(holdings: DataFrame, targets: DataFrame, currency: str = "JPY") -> DataFrame:
+    """One Markdown document an account: summary, categories against targets, assets, and what to buy of which asset, as
+    ``rebalance_plan`` and ``split_buys`` tell.
 
-    ``plan``: ``rebalance_plan``; ``assets(account_id, asset, category, value)``; ``buys``: ``split_buys``.
+    ``holdings(account_id, asset, category, value)``; ``targets(category, ratio)``: a row a category. An account's assets are one
+    row, as they are in its document; so ``holdings`` is read once and nothing is joined but the targets.
     """
+    from .allocation import rebalance_plan, with_drift
+
     symbol = CURRENCY_SYMBOLS.get(currency, currency)
     cells = lambda *parts: F.concat(F.lit("| "), *[x for p in parts for x in (p, F.lit(" | "))][:-1], F.lit(" |"))
-    share = F.coalesce(F.try_divide("current", "total"), F.lit(0.0))
-    total = plan.groupBy("account_id").agg(F.max("total").alias("total"))
-    held = assets.join(total, "account_id").withColumn("share", F.coalesce(F.try_divide("value", "total"), F.lit(0.0)))
-    held = held.groupBy("account_id").agg(_lines(["category", "asset"], cells("asset", "category", money("value", symbol), percent(F.col("share"))), "assets"))
-    parts = buys.groupBy("account_id", "category").agg(_lines(["asset"], F.concat(F.lit("- "), "asset", F.lit(": "), money("asset_buy", symbol)), "parts"))
-    full = plan.join(parts, ["account_id", "category"], "left")
-    buy = F.when(F.col("buy") > 0, F.concat(F.lit("### "), "category", F.lit(" (+"), money("buy", symbol), F.lit(")"), F.coalesce(F.concat(F.lit("\n"), "parts"), F.lit(""))))
-    line = cells("category", percent(F.col("ratio")), percent(share), "status")
-    doc = full.groupBy("account_id").agg(F.max("total").alias("total"), F.max("investment").alias("investment"), _lines(["category"], line, "rows"), _lines(["category"], buy, "buys")).join(held, "account_id")
+    share = lambda v: F.coalesce(F.try_divide(v, F.col("total")), F.lit(0.0))
+    # What doesn't depend on the rest of the account is written before the rows meet, where Spark compiles it.
+    begun = F.concat(F.lit("| "), "asset", F.lit(" | "), "category", F.lit(" | "), money("value", symbol), F.lit(" | ")).alias("begun")
+    held = holdings.groupBy("account_id").agg(F.collect_list(F.struct("category", "asset", "value", begun)).alias("held"))
+    numbered = targets.select("category", "ratio", F.row_number().over(W.orderBy("category")).alias("_n"))
+    # Of an account's rows, one for each target, each has the assets of its category, and the first has all.
+    grid = held.crossJoin(F.broadcast(numbered)).select(
+        "account_id", "category", "ratio", F.when(F.col("_n") == 1, F.col("held")).alias("held"), F.filter("held", lambda x: x["category"] == F.col("category")).alias("own"))
+    current = F.aggregate("own", F.lit(0.0), lambda total, x: total + F.coalesce(x["value"], F.lit(0.0)))
+    plan = rebalance_plan(with_drift(grid.withColumn("current", current)))
+    part = lambda x: F.col("buy") * F.when(F.col("current") > 0, x["value"] / F.col("current")).otherwise(1.0 / F.size("own"))
+    parts = _joined(F.transform("own", lambda x: F.struct(x["asset"].alias("asset"), F.concat(F.lit("- "), x["asset"], F.lit(": "), money(part(x), symbol)).alias("t"))))
+    parts = F.when(F.size("own") > 0, F.concat(F.lit("\n"), parts)).otherwise("")
+    buy = F.when(F.col("buy") > 0, F.concat(F.lit("### "), "category", F.lit(" (+"), money("buy", symbol), F.lit(")"), parts))
+    row = cells("category", percent(F.col("ratio")), percent(share(F.col("current"))), "status")
+    doc = plan.select("account_id", "category", "total", "investment", "held", row.alias("row"), buy.alias("buy")).groupBy("account_id").agg(
+        F.max("total").alias("total"), F.max("investment").alias("investment"), F.first("held", ignorenulls=True).alias("held"),
+        F.collect_list(F.struct("category", F.col("row").alias("t"))).alias("rows"), F.collect_list(F.struct("category", F.col("buy").alias("t"))).alias("buys"))
+    assets = F.transform("held", lambda x: F.struct(x["category"].alias("category"), x["asset"].alias("asset"), F.concat(x["begun"], percent(share(x["value"])), F.lit(" |")).alias("t")))
     head = F.concat(F.lit("# Portfolio Rebalance Report\n\n- Total: "), money("total", symbol), F.lit("\n- Required investment: "), money("investment", symbol), F.lit(f"\n- Currency: {currency}"))
+    buys = _joined(F.col("buys"))
     body = F.concat(
-        head, F.lit("\n\n| Category | Target | Current | Status |\n| :--- | :---: | :---: | :---: |\n"), "rows",
-        F.lit("\n\n| Asset | Category | Value | Share |\n| :--- | :--- | :---: | :---: |\n"), "assets", F.lit("\n\n"),
-        F.when(F.col("buys") == "", "No purchases.").otherwise(F.col("buys")))
+        head, F.lit("\n\n| Category | Target | Current | Status |\n| :--- | :---: | :---: | :---: |\n"), _joined(F.col("rows")),
+        F.lit("\n\n| Asset | Category | Value | Share |\n| :--- | :--- | :---: | :---: |\n"), _joined(assets), F.lit("\n\n"),
+        F.when(buys == "", "No purchases.").otherwise(buys))
     return doc.select("account_id", body.alias("markdown"))

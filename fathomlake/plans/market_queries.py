@@ -238,5 +238,4 @@ _MD = f"""h AS (SELECT h.account_id, string_agg('| ' || asset || ' | ' || catego
        f"coalesce(string_agg('### ' || b.category || ' (+' || {_YEN.format('buy')} || ')' || coalesce(chr(10) || parts.lines, ''), chr(10) ORDER BY b.category) FILTER (WHERE buy > 0), 'No purchases.') AS markdown "
        "FROM buys b JOIN h ON h.account_id = b.account_id LEFT JOIN parts ON parts.account_id = b.account_id AND parts.category = b.category GROUP BY b.account_id", "holdings", "allocation_target")
 def allocation_markdown(h, t):
-    plan = A.rebalance_plan(A.category_drift(h, t))
-    return R.allocation_markdown(plan, h, A.split_buys(plan, h))
+    return R.allocation_markdown(h, t)

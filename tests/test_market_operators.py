@@ -108,3 +108,34 @@ def test_only_named_members_of_an_archive_are_read(spark):
     w = spark.createDataFrame([(1, 1, 5.0, date(2020, 3, 1)), (1, 2, 6.0, date(2021, 3, 1))], "code long, fiscal_period int, l_extendedprice double, disclosed_date date")
     assert {r.file_name for r in K._archives(w).collect()} == {"XBRL_TO_CSV/jpcrp-1.csv", "XBRL_TO_CSV/jpdei.csv"}
     assert [(r.file_name, r.c8) for r in K._archives(w, "jpdei").collect()] == [("XBRL_TO_CSV/jpdei.csv", "2021-03-01")]
+
+
+def test_allocation_document_reads_positions_once(spark):
+    from pyspark.sql import functions as F
+
+    from fathomlake.plans import queries as Q
+
+    plan = Q.QUERIES["allocation_markdown"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len([line for line in plan.split("\n") if "FileScan" in line and "l_orderkey" in line]) == 1
+    h = spark.createDataFrame([(1, "F", "INDEX", 600.0), (1, "E", "INDEX", 200.0), (1, "X", "ART", 50.0), (1, "N", "INDEX", None)], "account_id int, asset string, category string, value double")
+    t = spark.createDataFrame([("INDEX", 0.8), ("CASH", 0.2)], "category string, ratio double")
+    (got,) = R.allocation_markdown(h, t, "USD").collect()
+    assert got.markdown == """# Portfolio Rebalance Report
+
+- Total: $800
+- Required investment: $200
+- Currency: USD
+
+| Category | Target | Current | Status |
+| :--- | :---: | :---: | :---: |
+| CASH | 20.0% | 0.0% | UNDER |
+| INDEX | 80.0% | 100.0% | OVER |
+
+| Asset | Category | Value | Share |
+| :--- | :--- | :---: | :---: |
+| X | ART | $50 | 6.3% |
+| E | INDEX | $200 | 25.0% |
+| F | INDEX | $600 | 75.0% |
+
+### CASH (+$200)"""
+    assert [r.p for r in spark.createDataFrame([(-0.0034,), (0.0,), (None,), (1.23456,)], "x double").select(R.percent(F.col("x")).alias("p")).collect()] == ["-0.3%", "0.0%", None, "123.5%"]
