@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -139,15 +140,46 @@ def fiscal_year(w):
 # ---- markup ---------------------------------------------------------------------------------------------------------
 
 _PLAIN = "trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9]+', ' '{0}), ' +', ' '{0}))"
-_BUSINESS = "concat('## Item 1. Business', chr(10), chr(10), 'Of ', plain)"
 
-
-@query(f"SELECT doc_id, concat('## Item 1. Business', chr(10), chr(10), 'Of ', plain) AS business, CASE WHEN doc_id % 3 > 0 THEN concat('## ITEM 1A. Risk Factors', chr(10), chr(10), source, CASE WHEN doc_id % 2 = 0 THEN ' **much**' ELSE '' END) END AS risk_factors, concat('## Signatures', chr(10), chr(10), lang) AS signatures FROM (SELECT *, {_PLAIN.format(', ' + chr(39) + 'g' + chr(39))} AS plain FROM texts)", "texts")
+# The reports in SQL: their Markdown, its lines (_LINES), those lines as headings where they can be some (_HEADS), the first that begins each
+# section of the form (_STARTS), and the lines from there to the start of the next section that was found (_section). ~: white space.
+# Python's and Java's kinds of white space and of line ends are spelled out.
+_HEADINGS = {
+    "business": "item~*1[~.]*business", "risk_factors": "item~*1a[~.]*risk~*factors", "unresolved": "item~*1b[~.]*unresolved", "mda": "item~*7[~.]*management",
+    "market_risk": "item~*7a[~.]*quantitative", "statements": "item~*8[~.]*financial", "governance": "item~*10[~.]*directors", "signatures": "signatures",
+}
+_ENDS = r"\n\r\x{85}\x{2028}\x{2029}"
+_MARKDOWN = f"""concat('[Item 1. Business](#a)\n\n## Item 1. Business\n\nOf ', {_PLAIN.format(", 'g'").replace("(text,", "(coalesce(text, ''),")},
+    CASE WHEN doc_id % 3 > 0 THEN concat('\n\n## ITEM 1A. Risk Factors\n\n', source, CASE WHEN doc_id % 2 = 0 THEN ' **much**' ELSE '' END) ELSE '' END, '\n\n## Signatures\n\n', lang)"""
+_LINES = rf"""string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_MARKDOWN}, '[ \t]+', ' ', 'g'), '\n\n\n+', chr(10) || chr(10), 'g'),
+    '(?m)[\t\x0b-\r\x1c-\x20\x{{85}}\p{{Z}}]+$', '', 'g'), '\n+\z', ''), chr(10))"""
+_HEADS = rf"""[CASE WHEN length(line) < 250 AND NOT regexp_matches(line, '\[[^{_ENDS}]*\]\(#[^{_ENDS}]*\)') THEN translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END FOR line IN lines]"""
+_STARTS = ", ".join(
+    rf"nullif(list_position([regexp_matches(head, '^#*[\t-\r ]*{h.replace('[~', r'[\t-\r ').replace('~', r'[\t-\r ]')}') FOR head IN heads], true), 0) AS at_{name}"
+    for name, h in _HEADINGS.items()
+)
+
+
+def _section(name: str) -> str:
+    names = list(_HEADINGS)
+    end = f"coalesce({', '.join([*(f'at_{n}' for n in names[names.index(name) + 1 :]), 'len(lines) + 1'])})"
+    tidy = f"array_to_string(lines[at_{name} : {end} - 1], chr(10))"
+    for pattern, into in ((rf"(\A|[{_ENDS}])[ \t]+", r"\1"), (rf"[ \t]+(\z|[{_ENDS}])", r"\1"), (r"\n\n\n+", "\n\n"), (r"\A[\t-\r ]+|[\t-\r ]+\z", "")):
+        tidy = f"regexp_replace({tidy}, '{pattern}', '{into}', 'g')"
+    return f"CASE WHEN at_{name} IS NOT NULL THEN {tidy} END AS {name}"
+
+
+def _markup_text(c: str) -> Column:
+    """A column's text (null: empty) as text of HTML."""
+    return F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+@query(f"SELECT doc_id, {_section('business')}, {_section('risk_factors')}, {_section('signatures')} FROM (SELECT doc_id, lines, {_STARTS} FROM (SELECT doc_id, lines, {_HEADS} AS heads FROM (SELECT doc_id, {_LINES} AS lines FROM texts)))", "texts")
 def extract_sections(t):
-    """Sections of annual reports made of all whole texts, with a table of contents; one in three has no risks."""
-    plain = F.expr(_PLAIN.format(""))
-    risk = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("<h2>ITEM 1A. Risk Factors</h2><p>"), "source", F.when(F.col("doc_id") % 2 == 0, " <b>much</b>").otherwise(""), F.lit("</p>"))).otherwise("")
-    html = F.concat(F.lit("<p>[Item 1. Business](#a)</p><script>x</script><h2>Item 1. Business</h2><p>Of "), plain, F.lit("</p>"), risk, F.lit("<h2>Signatures</h2><p>"), "lang", F.lit("</p>"))
+    """Sections of annual reports made of all whole texts (null text, source or language: empty), with a table of contents; one in three has no risks."""
+    plain = F.coalesce(F.expr(_PLAIN.format("")), F.lit(""))
+    risk = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("<h2>ITEM 1A. Risk Factors</h2><p>"), _markup_text("source"), F.when(F.col("doc_id") % 2 == 0, " <b>much</b>").otherwise(""), F.lit("</p>"))).otherwise("")
+    html = F.concat(F.lit("<p>[Item 1. Business](#a)</p><script>x</script><h2>Item 1. Business</h2><p>Of "), plain, F.lit("</p>"), risk, F.lit("<h2>Signatures</h2><p>"), _markup_text("lang"), F.lit("</p>"))
     got = M.extract_sections(t.select("doc_id", html.alias("html")), "html", "10-K")
     return got.select("doc_id", *[F.col("sections")[c].alias(c) for c in ("business", "risk_factors", "signatures")])
 

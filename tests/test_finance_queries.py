@@ -100,6 +100,23 @@ def test_us_facts_that_share_a_key(spark, tmp_path):
     assert mine == theirs == [("us-gaap:Item1", 300.0), ("us-gaap:Item2", 50.0)]
 
 
+def test_sections_of_odd_documents(spark, tmp_path):
+    """Documents without text, language or source, with markup, white space and headings of other sections in them: the query and its SQL are one rule."""
+    odd = [None, "", " \t", "x", "a  b", "a & b &amp; <b>c</b>", "a\r b", "\x85a\xa0", "x   y ", "a\n\n \n\n b", "Signatures", "[Signatures](#s)", "signatures" + "z" * 250, "x\nItem 7. Management", "Item\x0b8. Financial", "ſignatures"]
+    rows = [(i * 6 + k, text, lang, source, 0) for i, (text, lang, source) in enumerate([*((t, "en", "s") for t in odd), *(("t", x, y) for x in odd for y in odd)]) for k in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    mine = sorted(map(tuple, Q.QUERIES["extract_sections"](spark, str(tmp_path)).select("doc_id", "business", "risk_factors", "signatures").collect()))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert mine == sorted(con.sql(f"SELECT doc_id, business, risk_factors, signatures FROM ({Q.ORACLE['extract_sections']})").fetchall())
+    got, business = {r[0]: r[1:] for r in mine}, "## Item 1. Business\n\nOf"
+    assert got[2] == got[8] == got[14] == (business, "## ITEM 1A. Risk Factors\n\ns **much**", "## Signatures\n\nen")
+    at = {(r[2], r[3]): r[0] for r in rows if r[0] % 6 == 2 and r[0] >= 6 * len(odd)}
+    assert got[at[None, ""]] == (f"{business} t", "## ITEM 1A. Risk Factors\n\n**much**", "## Signatures")
+    assert got[at[odd[5], odd[5]]] == (f"{business} t", f"## ITEM 1A. Risk Factors\n\n{odd[5]} **much**", f"## Signatures\n\n{odd[5]}")
+    assert got[at["x", "Signatures"]] == (f"{business} t", "## ITEM 1A. Risk Factors", "Signatures **much**\n\n## Signatures\n\nx")
+
+
 def test_sides_of_few_keys_go_to_all_tasks(spark):
     """Joins by currency, ticker or day deal nothing by those keys, whatever size Spark takes the small side to have."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
